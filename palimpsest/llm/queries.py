@@ -1,4 +1,22 @@
 """Queries of the training-data operators."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from palimpsest.llm import packing, tokenizers
+from palimpsest.session import table
+
+
+def _packed(s, d):
+    return packing.pack(table(s, d, "documents"), table(s, d, "context_windows"))
+
+
+QUERIES = {
+    "p6_ids": lambda s, d: tokenizers.encode(table(s, d, "documents")),
+    "p6_decoded": lambda s, d: tokenizers.decode(tokenizers.encode(table(s, d, "documents"))),
+    "p7_packed": _packed,
+    "p7_fill": lambda s, d: packing.fill(_packed(s, d), table(s, d, "context_windows")),
+}
+
+SQL = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
