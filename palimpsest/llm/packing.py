@@ -105,7 +105,7 @@ def pack_window(ids: np.ndarray, sizes: np.ndarray, capacity: int, step: int = S
 def _count_batches(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], folder: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        counts = [pa.array(counter(n, folder).counts(texts), pa.int64()) for n in names]
+        counts = [pa.array(c, pa.int64()) for c in counter(names, folder).counts(texts)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *counts], ["doc_id", *(f"n{i}" for i in range(len(names)))])
 
 

@@ -173,71 +173,114 @@ def token_offsets(texts: DataFrame, key: str = "doc_id", text: str = "text", nam
 # --- counts ---------------------------------------------------------------------------------------------------------
 
 
-class Counter:
-    """Token counts of whole texts from the counts of their independent pieces.
+class _Split:
+    """Tokenizers that split a text into the same pieces, which never merge with each other.
 
-    Each tokenizer here splits a text into pieces that never merge with each other, and most pieces recur, so their
-    counts are kept. The counts equal those of a full encoding.
+    Most pieces recur, so the counts of each are kept, one field of an integer a tokenizer: a text is split once and the
+    sum of its pieces' integers holds all its counts. The counts equal those of full encodings.
     """
 
     #: Pieces kept; beyond it the store is emptied, so a worker's memory stays bounded.
     KEPT = 500_000
+    BITS = 40
 
-    def __init__(self, name: str, folder: str):
-        import regex
+    def __init__(self, prepare, split, coders: list):
+        self.prepare, self.split, self.coders, self.known = prepare, split, coders, {}
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        path = vocabulary(name, folder)
-        self.known: dict[str, int] = {}
-        self.prepare = str
-        if path.suffix == ".model":
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=str(path))
-            space = "▁"
-            if any(space in model.id_to_piece(i).lstrip(space) for i in range(model.get_piece_size())):
-                raise ValueError(f"{name}: pieces reach over a space")
-            # the model puts a space before a text; no piece has one after another character, so spaces begin the pieces
-            self.prepare = lambda t: t and space + t.replace(" ", space)
-            self.split = regex.compile(f"{space}+[^{space}]*").findall
-            self.count_new = lambda pieces: [len(x) for x in model.encode([p[1:] for p in pieces], num_threads=1)]
-        elif path.suffix == ".tiktoken" or name == BYTE_BPE:
-            import tiktoken
-
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary_ranks(name, folder).open("rb"))}
-            self.split = regex.compile(PATTERN).findall
-            coder = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.count_new = lambda pieces: [len(coder.encode_ordinary(p)) for p in pieces]
-        else:
-            from tokenizers import Tokenizer
-
-            coder = Tokenizer.from_file(str(path))
-            coder.encode_special_tokens = True
-            # white space is dropped by the split, so plain ASCII needs no more than lower case
-            self.prepare = lambda t: t.lower() if t.isascii() else coder.normalizer.normalize_str(t)
-            self.split = regex.compile(WORD_PATTERN).findall
-            self.count_new = lambda pieces: [len(e) for e in coder.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) > self.KEPT:
+            self.known.clear()  # a block asks for all the pieces of its texts that missed one
+        new = list(set(pieces).difference(self.known))
+        fields = [coder(new) for coder in self.coders]
+        self.known.update(zip(new, (sum(n << self.BITS * i for i, n in enumerate(row)) for row in zip(*fields))))
 
     def counts(self, texts: list[str]) -> list[int]:
-        out = []
+        out: list = []
         for block in blocks(texts):
             split = [self.split(self.prepare(t)) for t in block]
-            if len(self.known) > self.KEPT:
-                self.known.clear()
-            new = list({p for s in split for p in s}.difference(self.known))
-            self.known.update(zip(new, self.count_new(new)))
-            out += [sum(map(self.known.__getitem__, s)) for s in split]
+            sums: list = [self._sum(pieces) for pieces in split]
+            missed = [k for k, n in enumerate(sums) if n is None]
+            if missed:
+                self._learn([p for k in missed for p in split[k]])
+                for k in missed:
+                    sums[k] = self._sum(split[k])
+            out += sums
         return out
 
+    def _sum(self, pieces: list[str]) -> int | None:
+        try:
+            return sum(map(self.known.__getitem__, pieces))
+        except KeyError:
+            return None
+
+
+def _piece_model(path: Path):
+    import sentencepiece
+
+    model, space = sentencepiece.SentencePieceProcessor(model_file=str(path)), "▁"
+    if any(space in model.id_to_piece(i).lstrip(space) for i in range(model.get_piece_size())):
+        raise ValueError(f"{path.name}: pieces reach over a space")
+
+    # the model puts a space before a text; no piece has one after another character, so spaces begin the pieces
+    def count(pieces: list[str]) -> list[int]:
+        return [len(x) if p != space else 1 for p, x in zip(pieces, model.encode([p[1:] for p in pieces], num_threads=1))]
+
+    return (lambda t: t and space + t.replace(" ", space)), f"{space}+[^{space}]*", count
+
+
+def _byte_ranks(path: Path):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.open("rb"))}
+    coder = tiktoken.Encoding(path.stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return str, PATTERN, lambda pieces: [len(x) for x in coder.encode_ordinary_batch(pieces, num_threads=1)]
+
+
+def _word_model(path: Path):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(str(path))
+    coder.encode_special_tokens = True
+    normal = coder.normalizer.normalize_str
+
+    # white space is dropped by the split, so plain ASCII needs no more than lower case
+    def prepare(t: str) -> str:
+        return t.lower() if t.isascii() else normal(t)
+
+    return prepare, WORD_PATTERN, lambda pieces: [len(e) for e in coder.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+class Counter:
+    """Token counts of whole texts by several tokenizers at once."""
+
+    def __init__(self, names: tuple[str, ...], folder: str):
+        import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        made: dict[str, _Split] = {}
+        self.fields = []
+        for name in names:
+            ranks = Path(folder) / f"{name}.tiktoken"
+            path = ranks if ranks.exists() else vocabulary(name, folder)
+            kind = {".tiktoken": _byte_ranks, ".model": _piece_model}.get(path.suffix, _word_model)
+            prepare, pattern, coder = kind(path)
+            key = pattern if kind is _byte_ranks else name
+            split = made.setdefault(key, _Split(prepare, regex.compile(pattern).findall, []))
+            split.coders.append(coder)
+            self.fields.append((key, _Split.BITS * (len(split.coders) - 1)))
+        self.splits = made
+
+    def counts(self, texts: list[str]) -> list[list[int]]:
+        """One list of counts a tokenizer."""
+        sums = {key: split.counts(texts) for key, split in self.splits.items()}
+        low = (1 << _Split.BITS) - 1
+        return [[(n >> shift) & low for n in sums[key]] for key, shift in self.fields]
+
 
 #: The split patterns of the vocabularies, which must equal theirs.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def vocabulary_ranks(name: str, folder: str) -> Path:
-    return Path(folder) / f"{name}.tiktoken"
-
-
-def counter(name: str, folder: str = FOLDER) -> Counter:
-    return _once(("counter", name, folder), lambda: Counter(name, folder))
+def counter(names: tuple[str, ...], folder: str = FOLDER) -> Counter:
+    return _once(("counter", names, folder), lambda: Counter(names, folder))
