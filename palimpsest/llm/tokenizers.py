@@ -233,7 +233,7 @@ def _byte_ranks(path: Path):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.open("rb"))}
     coder = tiktoken.Encoding(path.stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return str, PATTERN, lambda pieces: [len(x) for x in coder.encode_ordinary_batch(pieces, num_threads=1)]
+    return str, PATTERN, lambda pieces: [len(coder.encode_ordinary(p)) for p in pieces]
 
 
 def _word_model(path: Path):
