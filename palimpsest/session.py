@@ -35,7 +35,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df`` in bytes, without running a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def bucket_count(df: DataFrame, expansion: float, bucket_bytes: int = 64 << 20) -> int:
