@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import packing, tokenizers
+from palimpsest.llm import packing, spans, tokenizers
 from palimpsest.session import table
 
 
@@ -15,6 +15,8 @@ QUERIES = {
     "p6_decoded": lambda s, d: tokenizers.decode(tokenizers.encode(table(s, d, "documents"))),
     "p7_packed": _packed,
     "p7_fill": lambda s, d: packing.fill(_packed(s, d), table(s, d, "context_windows")),
+    "p8_found": lambda s, d: spans.shared_spans(table(s, d, "documents")),
+    "p8_share": lambda s, d: spans.shared_share(table(s, d, "documents")),
 }
 
 SQL = {
