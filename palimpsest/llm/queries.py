@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import packing, spans, tokenizers
+from pyspark.sql import functions as F
+
+from palimpsest.llm import packing, spans, tokenizers, vectors
 from palimpsest.session import table
 
 
@@ -10,7 +12,21 @@ def _packed(s, d):
     return packing.pack(table(s, d, "documents"), table(s, d, "context_windows"))
 
 
+def _codes(s, d):
+    return {
+        "vectors": vectors.binary_vectors(table(s, d, "vectors")),
+        "compressed_vectors": vectors.decoded_vectors(table(s, d, "compressed_vectors"), table(s, d, "pq_codebooks")),
+    }
+
+
+def _of_tables(s, d, operator):
+    parts = [operator(codes).select(F.lit(name).alias("table_name"), "*") for name, codes in _codes(s, d).items()]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES = {
+    "p5_found": lambda s, d: _of_tables(s, d, vectors.nearest_pairs),
+    "p5_nearest": lambda s, d: _of_tables(s, d, vectors.nearest),
     "p6_ids": lambda s, d: tokenizers.encode(table(s, d, "documents")),
     "p6_decoded": lambda s, d: tokenizers.decode(tokenizers.encode(table(s, d, "documents"))),
     "p7_packed": _packed,
