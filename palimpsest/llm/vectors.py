@@ -25,13 +25,15 @@ BITS, BYTES, WORDS = 1024, 128, 16
 K = 5
 RADIUS = 256
 #: Vectors a centroid stands for, and vectors of the sample a centroid.
-LIST_SIZE, SAMPLE_PER_LIST = 400, 24
+LIST_SIZE, SAMPLE_PER_LIST = 500, 24
 #: Bounds of what the driver holds: centroids (4 MB) and sampled vectors (50 MB).
 MAX_CENTROIDS, MAX_SAMPLE = 32_768, 400_000
 #: A vector stands in at most so many lists, none farther than this ratio of the nearest.
-REPLICAS, RATIO = 5, 1.045
+REPLICAS, RATIO = 5, 1.04
+#: Neighbouring lists are dealt to buckets in blocks of 2 to this power.
+BLOCK_BITS = 4
 #: Lists beyond this are divided again before their members are compared.
-MAX_LIST = 20_000
+MAX_LIST = 40_000
 #: Copies of one vector that stand in the index; a further copy's nearest are the first of them.
 COPIES = K + 1
 
@@ -69,9 +71,13 @@ def halve(sample: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarra
 
 
 class Graph:
-    """Neighbour graph over the centroids, searched by a beam for a batch of vectors at once."""
+    """Neighbour graph over the centroids, searched by a beam for a batch of vectors at once.
 
-    DEGREE, FAR, HUBS, BEAM, ROUNDS, WIDTH = 14, 2, 48, 20, 12, 2
+    The beam starts from the best of up to ``HUBS`` centroids, an entry layer compared by one matrix product; where that
+    layer holds every centroid the search is exact.
+    """
+
+    DEGREE, FAR, HUBS, BEAM, ROUNDS, WIDTH = 14, 2, 1024, 24, 10, 2
 
     def __init__(self, centroids: np.ndarray, rng: np.random.Generator):
         self.centroids, n = centroids, len(centroids)
@@ -105,7 +111,7 @@ class Graph:
         seen[:, self.hubs] = True
         ids, dist = self.hubs[order], np.take_along_axis(d, order, 1)
         open_ = np.ones(ids.shape, bool)
-        for _ in range(self.ROUNDS):
+        for _ in range(self.ROUNDS if len(self.hubs) < len(self.centroids) else 0):
             best = np.argsort(np.where(open_, dist, 1 << 20), 1)[:, : self.WIDTH]
             if not np.take_along_axis(open_, best, 1).any():
                 break
@@ -207,6 +213,11 @@ def fit(codes: DataFrame, rows: int, list_size: int = LIST_SIZE, seed: int = 7)
     return Graph(centroids, rng)
 
 
+def _bucket_of_list(lists: np.ndarray, buckets: int) -> np.ndarray:
+    """Blocks of neighbouring lists share a bucket, so a vector goes to few buckets; crowded regions still spread."""
+    return np.where(lists >= 0, (lists >> BLOCK_BITS) % buckets, -1)
+
+
 def _pack(code: np.ndarray, keys: list[bytes], lists: np.ndarray) -> bytes:
     sizes = np.array([len(k) for k in keys], np.uint32)
     side = zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + lists.tobytes() + b"".join(keys))
@@ -222,18 +233,17 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 
 def _posting_batches(batches: Iterator[pa.RecordBatch], graph: Graph, buckets: int) -> Iterator[pa.RecordBatch]:
-    n_lists = len(graph.centroids)
     for batch in batches:
         if not len(batch):
             continue
         keys = [k.encode() for k in batch.column(0).to_pylist()]
         code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
         lists = graph.assign(code)
-        # neighbouring lists share a bucket, so a vector often goes to few buckets for all its lists
-        bucket = np.where(lists >= 0, lists.astype(np.int64) * buckets // n_lists, -1)
+        bucket = _bucket_of_list(lists, buckets)
+        bucket.sort(1)
         first = np.concatenate([np.ones((len(bucket), 1), bool), bucket[:, 1:] != bucket[:, :-1]], 1) & (bucket >= 0)
         row, col = np.nonzero(first)
-        to = bucket[row, col]
+        to = bucket[row, col].astype(np.int64)
         order = np.argsort(to, kind="stable")
         row, to = row[order], to[order]
         start, length = runs(to)
@@ -241,31 +251,74 @@ def _posting_batches(batches: Iterator[pa.RecordBatch], graph: Graph, buckets: i
         yield pa.RecordBatch.from_arrays([pa.array(to[start], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def _close_pairs(v: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, distance), i < j, of the members of a list that are within the radius."""
-    n, columns = len(v), np.ascontiguousarray(v.T)
-    at_i, at_j, at_d = [], [], []
-    i = 0
-    while i < n:
-        rest = n - i
-        step = max(1, min(rest, (1 << 15) // rest + 1))
-        acc = np.zeros((step, rest), np.uint16)
-        for w in range(WORDS):
-            acc += np.bitwise_count(columns[w, i : i + step, None] ^ columns[w, None, i:])
-        r, c = np.nonzero(acc <= radius)
-        later = c > r
-        r, c = r[later], c[later]
-        at_i.append(r + i)
-        at_j.append(c + i)
-        at_d.append(acc[r, c])
-        i += step
-    return np.concatenate(at_i), np.concatenate(at_j), np.concatenate(at_d).astype(np.int64)
-
-
-def _list_pairs(v: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``_close_pairs``; a list that outgrew its size is divided by centroids of its own first."""
+def _shuffled_bits(v: np.ndarray) -> np.ndarray:
+    """The same vectors with their bits in another, fixed order, so any few words are a fair sample of the bits."""
+    order = np.random.default_rng(1).permutation(BITS)
+    out = np.empty_like(v)
+    for i in range(0, len(v), 4096):
+        bits = np.take(np.unpackbits(v[i : i + 4096].view(np.uint8), axis=1), order, axis=1)
+        out[i : i + 4096] = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64)
+    return out
+
+
+class _Close:
+    """Pairs within a radius, from vectors of shuffled bits.
+
+    ``PART`` words are compared first, in bytes. A pair within the radius differs there in so many bits by chance that
+    the limit, 3.5 standard deviations above the mean at the radius itself, loses less than one such pair in 4,000 and
+    none that are clearly closer; what passes is counted in full.
+    """
+
+    PART, BLOCK = 7, 1 << 15
+
+    def __init__(self, radius: int):
+        share = self.PART / WORDS
+        spread = radius * (1 - radius / BITS) * share * (1 - share)
+        self.radius, self.limit = radius, int(min(254, radius * share + 3.5 * max(spread, 0) ** 0.5 + 1))
+        self.whole = self.limit >= 200  # a byte can't hold enough bits for the limit to be safe
+        self._room(2 * self.BLOCK)
+
+    def _room(self, cells: int) -> None:
+        self.x, self.c, self.sums = np.empty(cells, np.uint64), np.empty(cells, np.uint8), np.empty(cells, np.uint8)
+
+    def pairs(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, distance), i < j."""
+        n, columns = len(v), np.ascontiguousarray(v.T)
+        found, i, whole = [np.zeros((0, 3), np.int64)], 0, self.whole
+        while i < n and not whole:
+            rest = n - i
+            step = max(1, min(rest, self.BLOCK // rest))
+            cells = step * rest
+            if cells > len(self.x):
+                self._room(cells)
+            x, count, sums = (a[:cells].reshape(step, rest) for a in (self.x, self.c, self.sums))
+            for w in range(self.PART):
+                np.bitwise_xor(columns[w, i : i + step, None], columns[w, None, i:], out=x)
+                np.bitwise_count(x, out=count if w else sums)
+                if w:
+                    np.add(sums, count, out=sums)
+            r, c = np.divmod(np.flatnonzero(sums.ravel() <= self.limit), rest)
+            whole = len(r) > 0.1 * cells and n > 256  # too alike for a part to tell: the rest is multiplied out
+            later = c > r
+            r, c = r[later] + i, c[later] + i
+            d = np.bitwise_count(v[r] ^ v[c]).sum(1, dtype=np.int64)
+            near = d <= self.radius
+            found.append(np.stack([r[near], c[near], d[near]], 1))
+            i += step
+        s = signs(v[i:]) if i < n else None
+        for a in range(0, n - i, 256):
+            d = s[a : a + 256] @ s[a:].T
+            r, c = np.nonzero(d >= BITS - 2 * self.radius)
+            later = c > r
+            r, c = r[later], c[later]
+            found.append(np.stack([r + a + i, c + a + i, ((BITS - d[r, c]) / 2).astype(np.int64)], 1))
+        return tuple(np.concatenate(found).T)
+
+
+def _list_pairs(v: np.ndarray, close: _Close) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The close pairs of a list; one that outgrew its size is divided by centroids of its own first."""
     if len(v) <= MAX_LIST:
-        return _close_pairs(v, radius)
+        return close.pairs(v)
     rng = np.random.default_rng(len(v))
     sample = v[rng.choice(len(v), min(len(v), MAX_LIST), replace=False)]
     lists = Graph(halve(sample, len(v) // (MAX_LIST // 8), rng), rng).assign(v)
@@ -276,7 +329,7 @@ def _list_pairs(v: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.
     for s, n in zip(start, length):
         if flat[order[s]] >= 0:
             members = np.sort(order[s : s + n] // lists.shape[1])
-            i, j, d = _close_pairs(v[members], radius)
+            i, j, d = close.pairs(v[members])
             found.append(np.stack([members[i], members[j], d], 1))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pairs[:, 0], pairs[:, 1], pairs[:, 2]
@@ -298,28 +351,29 @@ def _neighbours_of_bucket(table: pa.Table, buckets: int, n_lists: int, k: int, r
             again[i] = (code[j] == code[i]).all()
             j -= 1
     code, keys, lists = code[~again], keys[~again], lists[~again]
-    row, col = np.nonzero((lists >= 0) & (lists.astype(np.int64) * buckets // n_lists == bucket))
+    row, col = np.nonzero(_bucket_of_list(lists, buckets) == bucket)
     which = lists[row, col]
     order = np.argsort(which, kind="stable")
     row, which = row[order], which[order]
+    mixed, close = _shuffled_bits(code), _Close(radius)
     out_q, out_n, out_d = [], [], []
     for s, n in zip(*runs(which)):
         members = row[s : s + n]
-        i, j, d = _list_pairs(code[members], radius)
+        i, j, d = _list_pairs(mixed[members], close)
         a, b = members[i], members[j]
         # the lowest list both stand in is theirs
         common = np.where((lists[a][:, :, None] == lists[b][:, None, :]) & (lists[a][:, :, None] >= 0), lists[a][:, :, None], n_lists).min((1, 2))
         mine = (common == which[s]) & (keys[a] != keys[b])
         a, b, d = a[mine], b[mine], d[mine]
-        q, x, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-        order = np.lexsort((x, d, q))
-        q, x, d = q[order], x[order], d[order]
-        start, length = runs(q)
-        near = np.arange(len(q)) - np.repeat(start, length) < k
-        out_q.append(q[near])
-        out_n.append(x[near])
-        out_d.append(d[near])
+        out_q += [a, b]
+        out_n += [b, a]
+        out_d += [d, d]
     q, x, d = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_q, out_n, out_d))
+    order = np.lexsort((x, d, q))
+    q, x, d = q[order], x[order], d[order]
+    start, length = runs(q)
+    near = np.arange(len(q)) - np.repeat(start, length) < k
+    q, x, d = q[near], x[near], d[near]
     text = pa.array([y.decode() for y in keys], pa.string())
     return pa.table({"key": text.take(pa.array(q)), "neighbour": text.take(pa.array(x)), "distance": pa.array(d.astype(np.int32))})
 
@@ -338,7 +392,7 @@ def nearest(codes: DataFrame, k: int = K, radius: int = RADIUS, list_size: int =
     if graph is None:
         return codes.sparkSession.createDataFrame([], f"{schema}, rank int")
     main, copies = _copies_apart(codes, k)
-    buckets = min(len(graph.centroids), bucket_count(codes, 4.0))
+    buckets = min((len(graph.centroids) >> BLOCK_BITS) + 1, bucket_count(codes, 4.0))
     n_lists = len(graph.centroids)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
