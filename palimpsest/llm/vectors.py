@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.exchange import runs
@@ -29,9 +29,9 @@ LIST_SIZE, SAMPLE_PER_LIST = 500, 24
 #: Bounds of what the driver holds: centroids (4 MB) and sampled vectors (50 MB).
 MAX_CENTROIDS, MAX_SAMPLE = 32_768, 400_000
 #: A vector stands in at most so many lists, none farther than this ratio of the nearest.
-REPLICAS, RATIO = 5, 1.04
+REPLICAS, RATIO = 5, 1.035
 #: Neighbouring lists are dealt to buckets in blocks of 2 to this power.
-BLOCK_BITS = 4
+BLOCK_BITS = 5
 #: Lists beyond this are divided again before their members are compared.
 MAX_LIST = 40_000
 #: Copies of one vector that stand in the index; a further copy's nearest are the first of them.
@@ -378,6 +378,19 @@ def _neighbours_of_bucket(table: pa.Table, buckets: int, n_lists: int, k: int, r
     return pa.table({"key": text.take(pa.array(q)), "neighbour": text.take(pa.array(x)), "distance": pa.array(d.astype(np.int32))})
 
 
+def squeezed(key: Column) -> Column:
+    """A key in fewer bytes for a shuffle: a trailing 32-digit hexadecimal id, as of a UUID, takes 16 of them. Lossless."""
+    tail = F.substring(key, -32, 32)
+    short = F.concat(F.lit(bytearray([1])), F.unhex(tail), F.encode(F.substring(key, F.lit(1), F.length(key) - 32), "UTF-8"))
+    return F.when(tail.rlike("^[0-9a-f]{32}$"), short).otherwise(F.concat(F.lit(bytearray([0])), F.encode(key, "UTF-8")))
+
+
+def unsqueezed(data: Column) -> Column:
+    head = F.substring(data, 1, 1) == F.lit(bytearray([1]))
+    long = F.concat(F.decode(F.substring(data, F.lit(18), F.length(data)), "UTF-8"), F.lower(F.hex(F.substring(data, 2, 16))))
+    return F.when(head, long).otherwise(F.decode(F.substring(data, F.lit(2), F.length(data)), "UTF-8"))
+
+
 def nearest(codes: DataFrame, k: int = K, radius: int = RADIUS, list_size: int = LIST_SIZE) -> DataFrame:
     """(key, neighbour, distance, rank): up to ``k`` nearest other records of every record, within ``radius``.
 
@@ -405,8 +418,10 @@ def nearest(codes: DataFrame, k: int = K, radius: int = RADIUS, list_size: int =
     if copies is not None:
         found = found.unionByName(copies)
     # at most k rows a list of each key
-    near = F.slice(F.array_sort(F.collect_set(F.struct("distance", "neighbour"))), 1, k).alias("near")
-    flat = found.groupBy("key").agg(near).select("key", F.posexplode("near").alias("rank", "n"))
+    small = found.select(squeezed(F.col("key")).alias("key"), F.struct("distance", squeezed(F.col("neighbour")).alias("other")).alias("n"))
+    all_near = F.transform(F.collect_set("n"), lambda n: F.struct(n["distance"].alias("distance"), unsqueezed(n["other"]).alias("neighbour")))
+    grouped = small.groupBy("key").agg(F.slice(F.array_sort(all_near), 1, k).alias("near"))
+    flat = grouped.select(unsqueezed(F.col("key")).alias("key"), F.posexplode("near").alias("rank", "n"))
     return flat.select("key", F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
 
@@ -433,4 +448,5 @@ def _copies_apart(codes: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None
 def nearest_pairs(codes: DataFrame, **options) -> DataFrame:
     """(key_a, key_b), key_a < key_b: pairs of which one record is among the nearest of the other."""
     near = nearest(codes, **options)
-    return near.select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
+    pairs = near.select(squeezed(F.least("key", "neighbour")).alias("a"), squeezed(F.greatest("key", "neighbour")).alias("b")).distinct()
+    return pairs.select(unsqueezed(F.col("a")).alias("key_a"), unsqueezed(F.col("b")).alias("key_b"))
