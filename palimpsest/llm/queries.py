@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import packing, spans, tokenizers, vectors
+from palimpsest.llm import neardup, packing, spans, tokenizers, vectors
 from palimpsest.session import table
 
 
@@ -24,7 +24,13 @@ def _of_tables(s, d, operator):
     return parts[0].unionByName(parts[1])
 
 
+def _alike(s, d):
+    return neardup.similar_pairs(table(s, d, "memories"), "id", "content").toDF("memory_id_a", "memory_id_b")
+
+
 QUERIES = {
+    "p3_found": _alike,
+    "p3_groups": lambda s, d: neardup.groups(table(s, d, "memories"), "id", "content"),
     "p5_found": lambda s, d: _of_tables(s, d, vectors.nearest_pairs),
     "p5_nearest": lambda s, d: _of_tables(s, d, vectors.nearest),
     "p6_ids": lambda s, d: tokenizers.encode(table(s, d, "documents")),
