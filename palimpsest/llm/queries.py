@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.llm import neardup, packing, spans, tokenizers, vectors
+from palimpsest.llm.pii import detect
 from palimpsest.session import table
 
 
@@ -29,6 +30,8 @@ def _alike(s, d):
 
 
 QUERIES = {
+    "p1_found": lambda s, d: detect.found(table(s, d, "memories")).withColumnRenamed("id", "memory_id"),
+    "p1_redacted": lambda s, d: detect.redacted(table(s, d, "memories")).withColumnRenamed("id", "memory_id"),
     "p3_found": _alike,
     "p3_groups": lambda s, d: neardup.groups(table(s, d, "memories"), "id", "content"),
     "p5_found": lambda s, d: _of_tables(s, d, vectors.nearest_pairs),
