@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import ASCII_WORD, chunks, tokens
 
 
+def occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+
+
 def postings(corpus: DataFrame, key: str, text: str, pattern: str = ASCII_WORD) -> DataFrame:
     """(key, term, tf): one row per document and distinct word."""
     words = corpus.select(key, F.explode(tokens(F.col(text), pattern)).alias("term"))
@@ -24,9 +30,9 @@ def bm25(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text",
     Only the query's distinct words are counted, per document and without a shuffle of postings; document frequencies and
     the mean length are one row, joined to all by broadcast.
     """
-    words = sorted(set(__import__("re").findall(ASCII_WORD, query.lower())))
+    words = sorted(set(re.findall(ASCII_WORD, query.lower())))
     doc = corpus.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    counted = doc.select(key, "dl", *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(words)])
+    counted = doc.select(key, "dl", *[occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(words)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -67,10 +73,10 @@ def alpha_blend(dense: DataFrame, sparse: DataFrame, key: str, alpha: float = 0.
 
 def chunk_scores(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, no, start, score): saturated term counts of 500-character chunks; repeated query words count again."""
-    words = __import__("re").findall(ASCII_WORD, query.lower())
+    words = re.findall(ASCII_WORD, query.lower())
     parts = corpus.select(key, F.explode(chunks(F.col(text))).alias("c")).select(key, "c.no", "c.start", tokens(F.col("c.text")).alias("w"))
     score, n = F.lit(0.0), F.size("w")
     for t in words:
-        tf = F.size(F.filter("w", lambda x, t=t: x == t))
+        tf = occurrences("w", t)
         score = score + tf * 2.5 / (tf + 1.5 * (n / 100))
     return parts.select(key, "no", "start", F.when(n > 0, score).otherwise(0.0).alias("score"))
