@@ -27,6 +27,8 @@ SHINGLE, MIN_WORDS, THRESHOLD = 3, 5, 0.5
 RADIUS, PLACES, BLOCKS = 2, 6, 6
 #: Records of a bucket's group up to which all are compared; larger groups are divided again by the same masks.
 FEW = 64
+#: Input bytes, as stored, whose keys make a bucket: some 4 million keys, or 300 MB of a task's memory.
+BUCKET_BYTES = 32 << 20
 #: Keys packed together before they are sent.
 FLUSH = 1_000_000
 #: Classes whose ids may be broadcast, 8 bytes each; beyond it they are joined by a shuffle.
@@ -245,10 +247,10 @@ def _candidates_of_bucket(table: pa.Table, sketch: Sketch, least: int) -> pa.Tab
     return pa.table({"a": pa.array(pairs[:, 0].astype(np.int64)), "b": pa.array(pairs[:, 1].astype(np.int64))})
 
 
-def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def candidates(texts: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None) -> DataFrame:
     """(a, b) pairs of classes that collide in some table and whose brief sketches don't rule the threshold out."""
     sketch = Sketch()
-    buckets, least = bucket_count(texts, 2.0), sketch.least_agreement(threshold)
+    buckets, least = buckets or bucket_count(texts, 1.0, BUCKET_BYTES), sketch.least_agreement(threshold)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _key_batches(batches, sketch, buckets)
@@ -290,7 +292,7 @@ class NearDuplicates:
     def __init__(self, texts: DataFrame, key: str, text: str, threshold: float = THRESHOLD):
         slim = texts.select(F.col(key).alias("id"), F.col(text).alias("text"))
         kind = slim.schema["id"].dataType.simpleString()
-        pairs = candidates(slim, threshold).persist(StorageLevel.MEMORY_AND_DISK)
+        pairs = candidates(slim, threshold, bucket_count(texts, 1.0, BUCKET_BYTES)).persist(StorageLevel.MEMORY_AND_DISK)
         linked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
         needed = F.broadcast(linked) if linked.count() <= MAX_BROADCAST else linked
         labels = slim.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_label_batches, f"id {kind}, class bigint, shingles array<int>")

@@ -24,6 +24,8 @@ MIN_CHARS = 200
 BLOCK = 1 << 20
 #: Anchors packed together before they are sent.
 FLUSH = 400_000
+#: Input bytes, as stored, whose anchors make half a bucket: some 1.5 million anchors, or 100 MB of a task's memory.
+BUCKET_BYTES = 16 << 20
 #: Occurrences of one window up to which they are compared with each other; beyond it, windows of the full length are counted.
 FEW = 8
 #: Occurrences of one window beyond which its counting is spread over the cluster.
@@ -141,10 +143,10 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"anchor": pa.array(group), "doc_id": pa.array(doc[keep]), "place": pa.array(place[keep].astype(np.int64)), "size": pa.array(size.astype(np.int64))})
 
 
-def shared_anchors(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def shared_anchors(documents: DataFrame, min_chars: int = MIN_CHARS, buckets: int | None = None) -> DataFrame:
     """(anchor, doc_id, place, size): every anchor window that occurs in two documents at least."""
     usable = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select("doc_id", "text")
-    buckets = bucket_count(usable, 2.0)
+    buckets = buckets or bucket_count(documents, 2.0, BUCKET_BYTES)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _anchor_batches(batches, min_chars, buckets)
@@ -300,9 +302,9 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     groups are settled by counting their full-length windows, those beyond ``MANY`` by a pre-aggregated count over the
     cluster.
     """
+    buckets = bucket_count(documents, 2.0, BUCKET_BYTES)
     slim = documents.select("doc_id", "text")
-    hits = shared_anchors(slim, min_chars).persist(StorageLevel.MEMORY_AND_DISK)
-    buckets = bucket_count(slim, 2.0)
+    hits = shared_anchors(slim, min_chars, buckets).persist(StorageLevel.MEMORY_AND_DISK)
     hinted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "size")).alias("hits")).hint("shuffle_hash")
     schema = "anchor bigint, doc_id bigint, place bigint, left bigint, context string, size bigint"
 
