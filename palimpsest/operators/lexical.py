@@ -31,7 +31,8 @@ def bm25(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text",
     the mean length are one row, joined to all by broadcast.
     """
     words = sorted(set(re.findall(ASCII_WORD, query.lower())))
-    doc = corpus.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    # exploding an array of one keeps the optimizer from splitting the text anew for every word
+    doc = corpus.select(key, F.explode(F.array(tokens(F.col(text)))).alias("w")).withColumn("dl", F.size("w"))
     counted = doc.select(key, "dl", *[occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(words)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
@@ -74,7 +75,8 @@ def alpha_blend(dense: DataFrame, sparse: DataFrame, key: str, alpha: float = 0.
 def chunk_scores(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, no, start, score): saturated term counts of 500-character chunks; repeated query words count again."""
     words = re.findall(ASCII_WORD, query.lower())
-    parts = corpus.select(key, F.explode(chunks(F.col(text))).alias("c")).select(key, "c.no", "c.start", tokens(F.col("c.text")).alias("w"))
+    cut = F.transform(chunks(F.col(text)), lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), tokens(c["text"]).alias("w")))
+    parts = corpus.select(key, F.explode(cut).alias("c")).select(key, "c.no", "c.start", "c.w")
     score, n = F.lit(0.0), F.size("w")
     for t in words:
         tf = occurrences("w", t)
