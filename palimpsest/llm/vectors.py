@@ -33,7 +33,9 @@ REPLICAS, RATIO = 5, 1.035
 #: Neighbouring lists are dealt to buckets in blocks of 2 to this power.
 BLOCK_BITS = 5
 #: Lists beyond this are divided again before their members are compared.
-MAX_LIST = 40_000
+MAX_LIST = 25_000
+#: Vectors a list of such a division stands for, and its ratio.
+DIVIDED, DIVIDED_RATIO = 700, 1.08
 #: Copies of one vector that stand in the index; a further copy's nearest are the first of them.
 COPIES = K + 1
 
@@ -131,10 +133,10 @@ class Graph:
         order = np.argsort(dist, 1, kind="stable")[:, :m]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
-    def assign(self, v: np.ndarray) -> np.ndarray:
+    def assign(self, v: np.ndarray, replicas: int = REPLICAS, ratio: float = RATIO) -> np.ndarray:
         """Lists of each vector, ascending; -1 where the ratio rules a list out."""
-        ids, dist = self.search(v, REPLICAS)
-        return np.sort(np.where(dist <= RATIO * np.maximum(dist[:, :1], 1), ids, -1), 1).astype(np.int32)
+        ids, dist = self.search(v, replicas)
+        return np.sort(np.where(dist <= ratio * np.maximum(dist[:, :1], 1), ids, -1), 1).astype(np.int32)
 
 
 # --- decoding -------------------------------------------------------------------------------------------------------
@@ -316,12 +318,16 @@ class _Close:
 
 
 def _list_pairs(v: np.ndarray, close: _Close) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The close pairs of a list; one that outgrew its size is divided by centroids of its own first."""
+    """The close pairs of a list; one that outgrew its size is divided first.
+
+    Such a list is a crowd around one centre, which any mean of its members comes near to and would draw them all. Single
+    members divide it evenly.
+    """
     if len(v) <= MAX_LIST:
         return close.pairs(v)
     rng = np.random.default_rng(len(v))
-    sample = v[rng.choice(len(v), min(len(v), MAX_LIST), replace=False)]
-    lists = Graph(halve(sample, len(v) // (MAX_LIST // 8), rng), rng).assign(v)
+    members = v[rng.choice(len(v), len(v) // DIVIDED, replace=False)]
+    lists = Graph(members, rng).assign(v, REPLICAS, DIVIDED_RATIO)
     flat = lists.ravel()
     order = np.argsort(flat, kind="stable")
     start, length = runs(flat[order])
