@@ -2,34 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def anchored_clusters(events: DataFrame, key: str, at: str, hours: float, limit: int = 100_000) -> DataFrame:
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, column: str, out: str, outputs: list[str]) -> DataFrame:
+    """Rows with ``outputs`` of an ordered fold per key.
+
+    ``step(state, value of column)`` gives the next state and the outputs; ``start()`` the first state. Rows are sorted by
+    key and order within partitions and stream through in batches, so only the state of one key is held, however many rows
+    the key has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for batch in batches:
+            made = []
+            for k, v in zip(batch[key], batch[column]):
+                k = None if k is None or k != k else k
+                if k != last:
+                    last, state = k, start()
+                state, values = step(state, v)
+                made.append(values)
+            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(made, columns=outputs)], axis=1)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
+
+
+def anchored_clusters(events: DataFrame, key: str, at: str, hours: float) -> DataFrame:
     """(key, at, cluster): a cluster spans ``hours`` from its first row; the first row after that opens the next.
 
-    Gaps longer than the span always separate, so rows are first cut at gaps, which a window finds; only a stretch without
-    such a gap is folded, and each stretch in a task of its own.
+    Rows without a time are left out.
     """
-    kind, ts = events.schema[key].dataType.simpleString(), events.schema[at].dataType.simpleString()
-    order = Window.partitionBy(key).orderBy(at)
-    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(order).cast("timestamp")) > hours * 3.6e9
-    cut = events.select(key, at).withColumn("_cut", F.sum(F.coalesce(gap.cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kind, ts, span = events.schema[key].dataType.simpleString(), events.schema[at].dataType.simpleString(), pd.Timedelta(hours=hours)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(at, kind="stable")
-        span, start, no, out = pd.Timedelta(hours=hours), None, -1, []
-        for t in part[at]:
-            if start is None or t - start > span:
-                start, no = t, no + 1
-            out.append(no)
-        return part.drop(columns="_cut").assign(_cut=part["_cut"], cluster=out)
+    def step(state: tuple, t: pd.Timestamp) -> tuple:
+        first, no = state
+        if first is None or t - first > span:
+            first, no = t, no + 1
+        return (first, no), (no,)
 
-    folded = cut.groupBy(key, "_cut").applyInPandas(fold, f"{key} {kind}, {at} {ts}, _cut bigint, cluster bigint")
-    first = F.dense_rank().over(Window.partitionBy(key).orderBy("_cut", "cluster")) - 1
-    return folded.select(key, at, first.cast("bigint").alias("cluster"))
+    return folded(events.where(F.col(at).isNotNull()).select(key, at), key, [at], lambda: (None, -1), step, at, f"{key} {kind}, {at} {ts}, cluster bigint", ["cluster"])
 
 
 def cluster_summary(clusters: DataFrame, key: str, at: str, least: int = 3) -> DataFrame:
@@ -64,22 +80,18 @@ def fixed_window_limit(events: DataFrame, key: str, at: str, seconds: int, limit
 def greedy_fill(items: DataFrame, key: str, order: list[str], size: str, budget: int, item: str) -> DataFrame:
     """(key, item, kept, used): items in order fill a budget; one that doesn't fit is skipped and the next is tried.
 
-    Zero-sized and null-sized items always fit. The running total depends on what was skipped, so each key is folded in order.
+    Zero-sized and null-sized items always fit. The running total depends on what was
+    skipped, so each key is folded in order.
     """
-    kinds = {c: items.schema[c].dataType.simpleString() for c in (key, item)}
     slim = items.select(key, item, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"), *[c for c in order if c not in (key, item, size)])
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        used, kept, totals = 0, [], []
-        for n in part["size"]:
-            fits = used + n <= budget
-            used += n if fits else 0
-            kept.append(fits)
-            totals.append(used)
-        return pd.DataFrame({key: part[key], item: part[item], "kept": kept, "used": totals})
-
-    return slim.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {item} {kinds[item]}, kept boolean, used bigint")
+    def step(used: int, n: int) -> tuple:
+        fits = used + n <= budget
+        used += n if fits else 0
+        return used, (fits, used)
+
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
+    return folded(slim, key, order, lambda: 0, step, "size", f"{out}, kept boolean, used bigint", ["kept", "used"]).select(key, item, "kept", "used")
 
 
 def heatmap(events: DataFrame, at: str) -> DataFrame:
