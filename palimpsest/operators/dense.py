@@ -67,3 +67,99 @@ def nearest_in_blocks(queries: DataFrame, base: DataFrame, key: str, vector: str
     pairs = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(product, f"query {kind}, {key} {kind}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+# --- product quantisation -------------------------------------------------------------------------------------------
+
+#: Vectors the codebooks are fitted on.
+PQ_SAMPLE = 20_000
+
+
+def train_codebooks(vectors: DataFrame, vector: str, parts: int, centroids: int = 16, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """(parts, centroids, width) codebooks by k-means per part, on a sample of at most ``PQ_SAMPLE`` vectors.
+
+    Only the fit is bounded; every vector is encoded. Empty clusters keep their centre.
+    """
+    usable = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
+    rows = usable.count()
+    picked = usable if rows <= PQ_SAMPLE else usable.sample(PQ_SAMPLE / rows, seed)
+    x = np.array([r.v for r in picked.limit(PQ_SAMPLE).collect()], np.float64)
+    rng, width = np.random.default_rng(seed), x.shape[1] // parts
+    books = np.empty((parts, centroids, width))
+    for p in range(parts):
+        part = x[:, p * width : (p + 1) * width]
+        c = part[rng.choice(len(part), centroids, replace=len(part) < centroids)]
+        for _ in range(rounds):
+            near = _nearest_centre(part, c)
+            for k in np.unique(near):
+                c[k] = part[near == k].mean(0)
+        books[p] = c
+    return books
+
+
+def _nearest_centre(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+
+
+def pq_encode(vectors: DataFrame, key: str, vector: str, books: np.ndarray) -> DataFrame:
+    """(key, codes): the nearest centre of each part; null vectors and those of another length give null."""
+    kind, parts, width = vectors.schema[key].dataType.simpleString(), books.shape[0], books.shape[2]
+
+    def run(batches):
+        for b in batches:
+            fits = b[vector].map(lambda v: v is not None and len(v) == parts * width).to_numpy(bool)
+            codes = [None] * len(b)
+            if fits.any():
+                x = np.stack(b[vector][fits].to_numpy()).astype(np.float64)
+                made = np.stack([_nearest_centre(x[:, p * width : (p + 1) * width], books[p]) for p in range(parts)], 1)
+                for i, c in zip(np.flatnonzero(fits), made):
+                    codes[i] = c.tolist()
+            yield pd.DataFrame({key: b[key], "codes": codes})
+
+    return vectors.select(key, vector).mapInPandas(run, f"{key} {kind}, codes array<int>")
+
+
+def pq_distances(encoded: DataFrame, query: list[float], books: np.ndarray) -> DataFrame:
+    """Encoded rows with their squared distance to a query, summed from a table of the query's distances to all centres."""
+    parts, width = books.shape[0], books.shape[2]
+    q = np.array(query, np.float64).reshape(parts, width)
+    table = ((books - q[:, None, :]) ** 2).sum(2)
+    flat = F.array(*[F.lit(float(x)) for x in table.ravel()])
+    at = lambda p, c: F.element_at(flat, p * table.shape[1] + c + 1)
+    terms = F.transform("codes", lambda c, p: at(p, c))
+    return encoded.withColumn("distance", F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
+
+
+def k_medoids(vectors: DataFrame, key: str, vector: str, k: int, rounds: int = 10, sample: int = 2_000, seed: int = 42) -> DataFrame:
+    """(key, medoid, distance): every vector at the nearest of ``k`` medoids (Euclidean, ties to the smaller key).
+
+    Medoids are chosen on a sample of at most ``sample`` rows; assignment covers all rows.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    usable = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)
+    rows = usable.count()
+    picked = (usable if rows <= sample else usable.sample(sample / rows, seed)).limit(sample).collect()
+    if not picked:
+        return usable.select(key, F.col(key).alias("medoid"), F.lit(0.0).alias("distance"))
+    picked.sort(key=lambda r: r[0])
+    ids, x = [r[0] for r in picked], np.array([r[1] for r in picked], np.float64)
+    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0))
+    chosen = np.sort(np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False))
+    for _ in range(rounds):
+        near = d[:, chosen].argmin(1)
+        better = np.array([members[d[np.ix_(members, members)].sum(1).argmin()] if len(members := np.flatnonzero(near == j)) else c for j, c in enumerate(chosen)])
+        better = np.sort(better)
+        if (better == chosen).all():
+            break
+        chosen = better
+    names, centres = [ids[i] for i in chosen], x[chosen]
+
+    def assign(batches):
+        for b in batches:
+            if len(b):
+                v = np.stack(b[vector].to_numpy()).astype(np.float64)
+                away = np.sqrt(np.maximum(((v[:, None, :] - centres) ** 2).sum(2), 0))
+                j = away.argmin(1)
+                yield pd.DataFrame({key: b[key], "medoid": [names[i] for i in j], "distance": away[np.arange(len(v)), j]})
+
+    return usable.mapInPandas(assign, f"{key} {kind}, medoid {kind}, distance double")

@@ -110,6 +110,15 @@ def _encoded(s, d):
     return v.select("id", hdv.ones(F.col("v")).cast("bigint").alias("ones"), F.round(hdv.bit_entropy(F.col("v")), 6).alias("entropy"))
 
 
+def _pq(s, d):
+    e = _emb(s, d).select("vec_id", "embedding")
+    parts = 8
+    books = dense.train_codebooks(e, "embedding", parts)
+    codes = dense.pq_encode(e, "vec_id", "embedding", books)
+    probe = e.where("embedding is not null").orderBy("vec_id").limit(1).first()
+    return dense.pq_distances(codes, list(probe["embedding"]), books).select("vec_id", "codes", F.round("distance", 5).alias("distance"))
+
+
 QUERIES = {
     "corpus_bm25": lambda s, d: _rounded(_bm25(s, d), "score"),
     "corpus_bm25_top": lambda s, d: _rounded(lexical.ranked(_rounded(_bm25(s, d), "score"), "doc_id", "score", 20), "score").select("doc_id", "score", F.col("rank").cast("bigint").alias("rank")),
@@ -132,6 +141,8 @@ QUERIES = {
     "dense_nearest": _nearest,
     "dense_quantised": _quantised,
     "dense_label_means": _centroids,
+    "dense_product_quantised": _pq,
+    "dense_medoids": lambda s, d: dense.k_medoids(_emb(s, d), "vec_id", "embedding", 8).select("vec_id", "medoid", F.round("distance", 5).alias("distance")),
     "dense_norms": lambda s, d: _emb(s, d).select("vec_id", F.round(dense.norm(F.col("embedding")), 5).alias("norm")),
 }
 

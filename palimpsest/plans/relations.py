@@ -109,6 +109,13 @@ QUERIES = {
     "rel_customers_without_orders": lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
     "rel_keys_in_both": lambda s, d: table(s, d, "lineitem").select(F.col("l_suppkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))),
     "rel_keys_in_one": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("k")).exceptAll(table(s, d, "lineitem").select(F.col("l_partkey").alias("k")).distinct()),
+    "rel_grouping_sets": lambda s, d: s.sql("SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping_id() AS level FROM {o} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", o=table(s, d, "orders")).withColumn("level", F.col("level").cast("bigint")),
+    "rel_value_percentiles": lambda s, d: _events(s, d).groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.5)"), 5).alias("median"), F.round(F.expr("percentile(value, 0.95)"), 5).alias("p95"), F.round(F.stddev_samp("value"), 5).alias("sd")),
+    "rel_unpivot": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.col("s_acctbal"), F.col("s_nationkey").cast("double").alias("s_nationkey")).unpivot("s_suppkey", ["s_acctbal", "s_nationkey"], "field", "amount"),
+    "rel_order_gaps": lambda s, d: table(s, d, "orders").select("o_orderkey", F.date_diff("o_orderdate", F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).cast("bigint").alias("days")),
+    "rel_top_parts_by_region": lambda s, d: sequence.keep_best(
+        table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey", "l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("qty")),
+        "s_nationkey", [F.desc("qty"), F.col("l_partkey")], 3).withColumn("pos", F.col("pos").cast("bigint")),
     "rel_status_pivot": lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0).withColumnsRenamed({"F": "n_f", "O": "n_o", "P": "n_p"}),
 }
 
@@ -137,5 +144,10 @@ SQL = {
     "rel_customers_without_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "rel_keys_in_both": "SELECT l_suppkey AS k FROM lineitem INTERSECT SELECT s_suppkey FROM supplier",
     "rel_keys_in_one": "SELECT p_partkey AS k FROM part EXCEPT ALL SELECT DISTINCT l_partkey FROM lineitem",
+    "rel_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "rel_value_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.95), 5) AS p95, round(stddev_samp(value), 5) AS sd FROM events GROUP BY 1",
+    "rel_unpivot": "SELECT s_suppkey, 's_acctbal' AS field, s_acctbal AS amount FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS DOUBLE) FROM supplier",
+    "rel_order_gaps": "SELECT o_orderkey, date_diff('day', lag(o_orderdate) OVER w, o_orderdate) AS days FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+    "rel_top_parts_by_region": "WITH q AS (SELECT s_nationkey, l_partkey, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY qty DESC, l_partkey) AS pos FROM q QUALIFY pos <= 3",
     "rel_status_pivot": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1",
 }

@@ -118,3 +118,27 @@ def test_validation_and_levels(spark):
     p = spark.createDataFrame([("x", "i", "read", None), ("x", "i", "full", T0), ("y", "i", "full", T0 + timedelta(days=9))], "agent string, item string, level string, expires_at timestamp_ntz")
     now = F.lit(T0 + timedelta(days=1)).cast("timestamp_ntz")
     assert {r.agent: r.level for r in consolidate.access_levels(p, {"read": 1, "full": 2}, now).collect()} == {"x": 1, "y": 2}
+
+
+def test_quantised_vectors_and_medoids(spark):
+    import numpy as np
+
+    from palimpsest.operators import dense
+
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 5, (4, 8))
+    rows = [(i, (centres[i % 4] + rng.normal(0, 0.1, 8)).tolist(), "x") for i in range(200)]
+    df = spark.createDataFrame([*rows, (900, None, "x")], "id int, v array<double>, codes string")
+    books = dense.train_codebooks(df, "v", 2, 4)
+    codes = dense.pq_encode(df, "id", "v", books)
+    got = {r.id: r.distance for r in dense.pq_distances(codes, rows[0][1], books).collect()}
+    assert got[900] is None and max(got[i] for i in range(0, 200, 4)) < min(got[i] for i in range(1, 200, 4))
+    medoids = {r.id: r.medoid for r in dense.k_medoids(df, "id", "v", 4).collect()}
+    assert len(medoids) == 200 and all(medoids[i] == medoids[i % 4] for i in range(200) if len(set(medoids.values())) == 4)
+    assert dense.k_medoids(df.limit(0), "id", "v", 4).count() == 0
+    exact = {(r.query, r.id) for r in dense.nearest_in_blocks(df.where("id < 9"), df, "id", "v", 3, blocks=3).collect()}
+    x = np.array([r[1] for r in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = x[:9] @ x.T
+    s[np.arange(9), np.arange(9)] = -9
+    assert exact == {(q, int(i)) for q in range(9) for i in np.argsort(-s[q], kind="stable")[:3]}
