@@ -133,8 +133,13 @@ def test_quantised_vectors_and_medoids(spark):
     codes = dense.pq_encode(df, "id", "v", books)
     got = {r.id: r.distance for r in dense.pq_distances(codes, rows[0][1], books).collect()}
     assert got[900] is None and max(got[i] for i in range(0, 200, 4)) < min(got[i] for i in range(1, 200, 4))
-    medoids = {r.id: r.medoid for r in dense.k_medoids(df, "id", "v", 4).collect()}
-    assert len(medoids) == 200 and all(medoids[i] == medoids[i % 4] for i in range(200) if len(set(medoids.values())) == 4)
+    out = dense.k_medoids(df, "id", "v", 4).collect()
+    at = {r[0]: np.array(r[1]) for r in rows}
+    chosen = {r.medoid for r in out}
+    assert len(out) == 200 and len(chosen) == 4
+    for r in out:
+        away = {m: np.linalg.norm(at[r.id] - at[m]) for m in chosen}
+        assert abs(r.distance - min(away.values())) < 1e-9 and abs(away[r.medoid] - r.distance) < 1e-9
     assert dense.k_medoids(df.limit(0), "id", "v", 4).count() == 0
     exact = {(r.query, r.id) for r in dense.nearest_in_blocks(df.where("id < 9"), df, "id", "v", 3, blocks=3).collect()}
     x = np.array([r[1] for r in rows])
