@@ -113,7 +113,8 @@ def replay(changes: DataFrame, stretch: int = STRETCH, sizes: DataFrame | None =
     (``memory_id, count``) are upper bounds of the changes of each key, where they are cheaper to get than by counting.
     """
     sizes = changes.groupBy("memory_id").count() if sizes is None else sizes
-    busy = sizes.where(F.col("count") > stretch)
+    # rows that name no memory may be many; a null among the busy keys would make every isin null
+    busy = sizes.where(F.col("memory_id").isNotNull() & (F.col("count") > stretch))
     # at most (rows / stretch) keys, whatever the data
     spans = {r["memory_id"]: r["count"] for r in busy.collect()}
     columns = ["memory_id", "status", "content_event_id", "last_event_id"]
@@ -160,5 +161,5 @@ def _replay_busy(changes: DataFrame, spans: dict[str, int], stretch: int) -> Dat
 def current_memories(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """The memories existing at the end of the log, from its deliveries."""
     named = F.coalesce("memory_id", F.get_json_object("payload_json", "$.memory_id")).alias("memory_id")
-    deliveries = log.select(named).groupBy("memory_id").count()
+    deliveries = log.select(named).where(F.col("memory_id").isNotNull()).groupBy("memory_id").count()
     return replay(memory_changes(log), stretch, deliveries)

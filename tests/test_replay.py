@@ -61,6 +61,19 @@ def test_deliveries(spark):
     assert replay.current_memories(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_many_rows_that_name_no_memory(spark):
+    schema = "id string, memory_id string, scope_key string, event_type string, payload_json string, idempotency_key string, occurred_at timestamp_ntz, created_at timestamp_ntz"
+    t = lambda h: T0 + timedelta(hours=h)
+    nameless = [(f"x{i:02}", None, "s", "remembered", "{}", None, t(i), t(i)) for i in range(30)]
+    calm = [("a", "calm", "s", "remembered", '{"content":"x"}', None, t(1), t(1))]
+    busy = [(f"b{i:02}", "busy", "s", "remembered" if i == 0 else "reinforced", "{}", None, t(i), t(i)) for i in range(12)]
+    for rows in (nameless + calm, nameless + calm + busy):
+        log = spark.createDataFrame(rows, schema)
+        want = {tuple(r) for r in replay.current_memories(log).collect()}
+        assert {r[0] for r in want} == {r[1] for r in rows if r[1]}
+        assert {tuple(r) for r in replay.current_memories(log, stretch=5).collect()} == want
+
+
 def test_watermark_holds_gaps(spark):
     parts = [(tx, n, tx, 2) for tx in (1, 2, 4, 5) for n in (1, 2)] + [(3, 1, 3, 2), (3, 1, 3, 2), (6, 1, None, 1)]
     df = spark.createDataFrame(parts, "tx_id int, part_no int, commit_seq int, tx_size int")
