@@ -49,6 +49,15 @@ def test_exact_with_one_list_and_copies(spark):
     assert vectors.nearest(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_boundary_vectors_stand_in_both_lists():
+    bits = np.zeros((3, 1024), np.uint8)
+    bits[1, :204] = bits[2, :100] = 1
+    first, second, code = (np.packbits(b[None], axis=1).view(np.uint64) for b in bits)
+    graph = vectors.Graph(np.concatenate([first, second]), np.random.default_rng(0))
+    assert np.bitwise_count(graph.centroids ^ code).sum(1).tolist() == [100, 104]
+    assert graph.assign(code, replicas=2).tolist() == [[0, 1]]
+
+
 def test_divided_lists_and_matrix_path(monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2, 1024)
