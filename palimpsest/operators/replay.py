@@ -44,10 +44,10 @@ def committed_watermark(transactions: DataFrame, seq: str = "commit_seq", first:
     )
 
 
-def committed_changes(parts: DataFrame, tx: str = "tx_id", seq: str = "commit_seq", size: str = "tx_size", first: int = 1) -> DataFrame:
+def committed_changes(parts: DataFrame, tx: str = "tx_id", seq: str = "commit_seq", size: str = "tx_size", first: int = 1, block: int = 1 << 20) -> DataFrame:
     """The parts of complete transactions at or below the contiguous watermark, each part once."""
     transactions = complete_transactions(parts, tx, seq, size)
-    mark = committed_watermark(transactions, seq, first)
+    mark = committed_watermark(transactions, seq, first, block)
     visible = transactions.where("complete").crossJoin(F.broadcast(mark)).where(F.col(seq).between(F.lit(first), F.col("watermark"))).select(tx)
     return parts.join(visible, tx, "left_semi").dropDuplicates([tx, "part_no"])
 

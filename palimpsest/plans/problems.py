@@ -30,6 +30,7 @@ QUERIES = {
     "p2_fast_layer": lambda s, d: lambda_view.fast_increments(lambda_view.dated_changes(table(s, d, "memory_events"))),
     "p4_found": lambda s, d: replay.current_memories(table(s, d, "memory_events")),
     "p4_committed": lambda s, d: replay.committed_changes(_order_parts(s, d)).select("tx_id", "part_no"),
+    "p4_committed_whole": lambda s, d: replay.committed_changes(_whole_order_parts(s, d), block=1 << 12).select("tx_id", "part_no"),
 }
 
 
@@ -43,6 +44,23 @@ def _order_parts(spark, sf_dir):
     return numbered.join(sizes, "tx_id").where(~((F.col("l_discount") >= 0.1) & (F.col("tx_id") > 500)))
 
 
+def _whole_order_parts(spark, sf_dir, block: int = 1 << 16):
+    """Order lines as transaction parts in a sequence without gaps of its own; parts got lost in the last tenth only."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx_id"), F.col("l_linenumber").cast("long").alias("part_no"), "l_discount")
+    sizes = lines.groupBy("tx_id").agg(F.count_distinct("part_no").alias("tx_size")).withColumn("b", F.floor(F.col("tx_id") / block))
+    # orders are numbered within blocks of keys; only the blocks' counts are summed in one task
+    before = F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.groupBy("b").agg(F.count(F.lit(1)).alias("c")).withColumn("before", before)
+    place = F.row_number().over(Window.partitionBy("b").orderBy("tx_id"))
+    numbered = sizes.withColumn("n", place).join(starts, "b").select("tx_id", "tx_size", (F.col("before") + F.col("n")).alias("commit_seq"))
+    late = lines.agg((F.max("tx_id") * 0.9).alias("late"))
+    kept = lines.crossJoin(F.broadcast(late)).where(~((F.col("l_discount") >= 0.1) & (F.col("tx_id") > F.col("late")))).drop("late")
+    return kept.join(numbered, "tx_id")
+
+
 SQL = {
     "p2_found": _COUNTS + "SELECT * FROM counts WHERE n_first <> n_final",
     "p2_serving": _COUNTS + "SELECT *, true AS frozen FROM counts",
@@ -83,5 +101,13 @@ kept AS (SELECT * FROM parts WHERE NOT (l_discount >= 0.1 AND tx_id > 500)),
 done AS (SELECT tx_id FROM kept JOIN sizes USING (tx_id) GROUP BY tx_id, n HAVING count(DISTINCT part_no) >= n),
 run AS (SELECT tx_id, row_number() OVER (ORDER BY tx_id) AS r FROM done WHERE tx_id >= 1)
 SELECT DISTINCT tx_id, part_no FROM kept WHERE tx_id IN (SELECT tx_id FROM run WHERE tx_id = r)
+""",
+    "p4_committed_whole": """
+WITH parts AS (SELECT l_orderkey AS tx_id, CAST(l_linenumber AS BIGINT) AS part_no, l_discount FROM lineitem),
+sizes AS (SELECT tx_id, count(DISTINCT part_no) AS n, row_number() OVER (ORDER BY tx_id) AS seq FROM parts GROUP BY 1),
+kept AS (SELECT * FROM parts WHERE NOT (l_discount >= 0.1 AND tx_id > (SELECT max(tx_id) * 0.9::DOUBLE FROM parts))),
+done AS (SELECT tx_id, seq FROM kept JOIN sizes USING (tx_id) GROUP BY tx_id, n, seq HAVING count(DISTINCT part_no) >= n),
+run AS (SELECT tx_id, seq, row_number() OVER (ORDER BY seq) AS r FROM done)
+SELECT DISTINCT tx_id, part_no FROM kept WHERE tx_id IN (SELECT tx_id FROM run WHERE seq = r)
 """,
 }

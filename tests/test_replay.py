@@ -83,3 +83,14 @@ def test_watermark_holds_gaps(spark):
     for block in (1 << 20, 2):
         assert replay.committed_watermark(replay.complete_transactions(healed), block=block).first()[0] == 5
     assert replay.committed_watermark(replay.complete_transactions(df.limit(0))).first()[0] == 0
+
+
+def test_committed_over_several_blocks(spark):
+    from palimpsest.plans import problems
+
+    parts = spark.createDataFrame([(tx, n, tx, 2) for tx in range(1, 10) for n in (1, 2) if (tx, n) != (8, 2)], "tx_id int, part_no int, commit_seq int, tx_size int")
+    assert {r.tx_id for r in replay.committed_changes(parts, block=2).collect()} == set(range(1, 8))
+    data = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey").distinct().count()
+    # lost parts lie in the last tenth of the orders
+    assert 0.8 * orders < problems.QUERIES["p4_committed_whole"](spark, data).select("tx_id").distinct().count() < orders
