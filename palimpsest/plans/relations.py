@@ -22,6 +22,10 @@ def _seeds(s, d):
     return _two_way(s, d).select(F.col("u").alias("seed")).where("substring(seed, 1, 1) = '0'").distinct()
 
 
+def _all_seeds(s, d):
+    return _two_way(s, d).select(F.col("u").alias("seed")).distinct()
+
+
 def _events(s, d):
     return table(s, d, "events")
 
@@ -87,6 +91,7 @@ def _parts(s, d):
 QUERIES = {
     "graph_components": lambda s, d: graph.connected_components(_edges(s, d), "memory_id", "source_memory_id"),
     "graph_two_hops": lambda s, d: graph.neighbours(_two_way(s, d), _seeds(s, d), 2).select("seed", "node", F.col("hop").cast("bigint").alias("hop")),
+    "graph_two_hops_whole": lambda s, d: graph.neighbours(_two_way(s, d), _all_seeds(s, d), 2).select("seed", "node", F.col("hop").cast("bigint").alias("hop")),
     "graph_spread": lambda s, d: graph.spread(_two_way(s, d), _seeds(s, d).select(F.col("seed").alias("node"), F.lit(1.0).alias("energy"))).select("node", F.round("energy", 6).alias("energy")),
     "graph_degrees": lambda s, d: graph.degrees(_two_way(s, d)).select("node", "degree", F.round("strength", 6).alias("strength")),
     "graph_triangles": lambda s, d: graph.triangles(_two_way(s, d)),
@@ -124,6 +129,7 @@ _E = "WITH RECURSIVE e AS (SELECT DISTINCT memory_id AS a, source_memory_id AS b
 SQL = {
     "graph_components": _E + ", c AS (SELECT u AS node, u AS component FROM w UNION SELECT w.v, c.component FROM c JOIN w ON w.u = c.node) SELECT node, min(component) AS component FROM c GROUP BY 1",
     "graph_two_hops": _E + ", h AS (SELECT DISTINCT u AS seed, u AS node, 0 AS hop FROM w WHERE substring(u, 1, 1) = '0' UNION SELECT h.seed, w.v, h.hop + 1 FROM h JOIN w ON w.u = h.node WHERE h.hop < 2) SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM h GROUP BY 1, 2",
+    "graph_two_hops_whole": _E + ", h AS (SELECT u AS seed, u AS node, 0 AS hop FROM w UNION SELECT u, v, 1 FROM w UNION SELECT x.u, y.v, 2 FROM w x JOIN w y ON x.v = y.u) SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM h GROUP BY 1, 2",
     "graph_spread": _E + ", h AS (SELECT DISTINCT u AS node, 1.0::DOUBLE AS energy, 0 AS hop FROM w WHERE substring(u, 1, 1) = '0' UNION SELECT w.v, h.energy * 0.35::DOUBLE, h.hop + 1 FROM h JOIN w ON w.u = h.node WHERE h.hop < 2) SELECT node, round(max(energy), 6) AS energy FROM h WHERE energy >= 0.01 GROUP BY 1",
     "graph_degrees": _E + " SELECT u AS node, count(*) AS degree, round(count(*) * 0.5::DOUBLE, 6) AS strength FROM w GROUP BY 1",
     "graph_triangles": _E + ", t AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM w x JOIN w y ON x.v = y.u JOIN w z ON z.u = y.v AND z.v = x.u WHERE x.u < x.v AND x.v < y.v) SELECT node, count(*) AS triangles FROM (SELECT a AS node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1",

@@ -147,3 +147,22 @@ def test_quantised_vectors_and_medoids(spark):
     s = x[:9] @ x.T
     s[np.arange(9), np.arange(9)] = -9
     assert exact == {(q, int(i)) for q in range(9) for i in np.argsort(-s[q], kind="stable")[:3]}
+
+
+def test_two_hops_from_every_node(spark):
+    from palimpsest.plans import relations
+
+    data = "/root/testdata/sf0.001"
+    edges = relations._two_way(spark, data).collect()
+    out = {}
+    for e in edges:
+        out.setdefault(e.u, set()).add(e.v)
+    want = {(u, u): 0 for u in out}
+    for u in out:
+        for v in out[u]:
+            want[u, v] = 1
+    for u in out:
+        for v in out[u]:
+            for w in out[v]:
+                want.setdefault((u, w), 2)
+    assert {(r.seed, r.node): r.hop for r in relations.QUERIES["graph_two_hops_whole"](spark, data).collect()} == want
