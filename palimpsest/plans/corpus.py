@@ -43,6 +43,12 @@ def _fused(s, d):
     return _rounded(lexical.reciprocal_rank_fusion([_coverage_list(s, d), jaccard], "id"), "rrf")
 
 
+def _fused_whole(s, d):
+    c = _coverage(s, d)
+    lists = [lexical.ranked(c.withColumnRenamed(name, "score").where("score > 0"), "id", "score") for name in ("coverage", "jaccard")]
+    return _rounded(lexical.reciprocal_rank_fusion(lists, "id"), "rrf")
+
+
 def _blend(s, d):
     c = _coverage(s, d)
     return _rounded(lexical.alpha_blend(c.where("coverage > 0").select("id", F.col("coverage").alias("score")), c.where("jaccard > 0").select("id", F.col("jaccard").alias("score")), "id"), "blend")
@@ -124,6 +130,7 @@ QUERIES = {
     "corpus_bm25_top": lambda s, d: _rounded(lexical.ranked(_rounded(_bm25(s, d), "score"), "doc_id", "score", 20), "score").select("doc_id", "score", F.col("rank").cast("bigint").alias("rank")),
     "corpus_coverage": _coverage,
     "corpus_rrf": _fused,
+    "corpus_rrf_whole": _fused_whole,
     "corpus_alpha_blend": _blend,
     "corpus_chunk_scores": _chunks,
     "corpus_terms": _terms,
@@ -177,6 +184,10 @@ SQL = {
     "corpus_rrf": _COV + """
 , a AS (SELECT id, row_number() OVER (ORDER BY coverage DESC, id) AS r FROM cov WHERE coverage > 0 QUALIFY r <= 200),
 b AS (SELECT id, row_number() OVER (ORDER BY jaccard DESC, id) AS r FROM cov WHERE jaccard > 0 QUALIFY r <= 200)
+SELECT id, round(sum(1 / (60 + r)::DOUBLE), 6) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
+    "corpus_rrf_whole": _COV + """
+, a AS (SELECT id, row_number() OVER (ORDER BY coverage DESC, id) AS r FROM cov WHERE coverage > 0),
+b AS (SELECT id, row_number() OVER (ORDER BY jaccard DESC, id) AS r FROM cov WHERE jaccard > 0)
 SELECT id, round(sum(1 / (60 + r)::DOUBLE), 6) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
     "corpus_alpha_blend": _COV + """
 , ca AS (SELECT * FROM cov WHERE coverage > 0), cb AS (SELECT * FROM cov WHERE jaccard > 0),

@@ -166,3 +166,11 @@ def test_two_hops_from_every_node(spark):
             for w in out[v]:
                 want.setdefault((u, w), 2)
     assert {(r.seed, r.node): r.hop for r in relations.QUERIES["graph_two_hops_whole"](spark, data).collect()} == want
+
+
+def test_fusion_keeps_every_match(spark):
+    from palimpsest.plans import corpus
+
+    data = "/root/testdata/sf0.01"
+    matches = corpus._coverage(spark, data).where("coverage > 0 or jaccard > 0").count()
+    assert matches > 400 and corpus.QUERIES["corpus_rrf_whole"](spark, data).count() == matches
