@@ -130,36 +130,61 @@ def pq_distances(encoded: DataFrame, query: list[float], books: np.ndarray) -> D
     return encoded.withColumn("distance", F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
 
 
-def k_medoids(vectors: DataFrame, key: str, vector: str, k: int, rounds: int = 10, sample: int = 2_000, seed: int = 42) -> DataFrame:
+def k_medoids(vectors: DataFrame, key: str, vector: str, k: int, rounds: int = 10, block_rows: int = 2_000, seed: int = 42) -> DataFrame:
     """(key, medoid, distance): every vector at the nearest of ``k`` medoids (Euclidean, ties to the smaller key).
 
-    Medoids are chosen on a sample of at most ``sample`` rows; assignment covers all rows.
+    Each round takes the row of least total distance to the members of its cluster, over all rows: every pair of blocks of
+    about ``block_rows`` rows is one task, so the work grows with the square of the rows.
     """
     kind = vectors.schema[key].dataType.simpleString()
     usable = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)
-    rows = usable.count()
-    picked = (usable if rows <= sample else usable.sample(sample / rows, seed)).limit(sample).collect()
-    if not picked:
+    medoids = usable.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k).collect()
+    if not medoids:
         return usable.select(key, F.col(key).alias("medoid"), F.lit(0.0).alias("distance"))
-    picked.sort(key=lambda r: r[0])
-    ids, x = [r[0] for r in picked], np.array([r[1] for r in picked], np.float64)
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0))
-    chosen = np.sort(np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False))
+    medoids.sort(key=lambda r: r[0])
+    blocks = max(1, -(-usable.count() // block_rows))
+    deal = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        away = np.stack([np.sqrt(((x - c) ** 2).sum(1)) for c in centres], 1)
+        j = away.argmin(1)
+        return j, away[np.arange(len(x)), j]
+
+    def improved(now: list) -> list:
+        centres = np.array([r[1] for r in now], np.float64)
+
+        def costs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"j": np.zeros(0, np.int32), key: x[key][:0], "cost": np.zeros(0)})]
+            if len(x) and len(y):
+                a, b = (np.array(p[vector].tolist(), np.float64) for p in (x, y))
+                ja, jb = nearest(a, centres)[0], nearest(b, centres)[0]
+                for j in np.unique(ja):
+                    p, q = a[ja == j], b[jb == j]
+                    d = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (q**2).sum(1) - 2 * p @ q.T, 0))
+                    out.append(pd.DataFrame({"j": np.int32(j), key: x[key][ja == j], "cost": d.sum(1)}))
+            return pd.concat(out[1:] or out)
+
+        q = usable.withColumn("qb", deal).withColumn("bb", everywhere)
+        b = usable.withColumn("bb", deal).withColumn("qb", everywhere)
+        parts = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(costs, f"j int, {key} {kind}, cost double")
+        total = parts.groupBy("j", key).agg(F.round(F.sum("cost"), 6).alias("cost"))
+        best = total.groupBy("j").agg(F.min(F.struct("cost", key)).getField(key).alias(key))
+        found = {r["j"]: r[key] for r in best.collect()}  # at most k
+        rows = {r[0]: r for r in usable.where(F.col(key).isin(*found.values())).collect()}
+        return sorted((rows[found[j]] if j in found else r for j, r in enumerate(now)), key=lambda r: r[0])
+
     for _ in range(rounds):
-        near = d[:, chosen].argmin(1)
-        better = np.array([members[d[np.ix_(members, members)].sum(1).argmin()] if len(members := np.flatnonzero(near == j)) else c for j, c in enumerate(chosen)])
-        better = np.sort(better)
-        if (better == chosen).all():
+        better = improved(medoids)
+        if [r[0] for r in better] == [r[0] for r in medoids]:
             break
-        chosen = better
-    names, centres = [ids[i] for i in chosen], x[chosen]
+        medoids = better
+    names, centres = [r[0] for r in medoids], np.array([r[1] for r in medoids], np.float64)
 
     def assign(batches):
         for b in batches:
             if len(b):
-                v = np.stack(b[vector].to_numpy()).astype(np.float64)
-                away = np.sqrt(np.maximum(((v[:, None, :] - centres) ** 2).sum(2), 0))
-                j = away.argmin(1)
-                yield pd.DataFrame({key: b[key], "medoid": [names[i] for i in j], "distance": away[np.arange(len(v)), j]})
+                j, away = nearest(np.stack(b[vector].to_numpy()).astype(np.float64), centres)
+                yield pd.DataFrame({key: b[key], "medoid": [names[i] for i in j], "distance": away})
 
     return usable.mapInPandas(assign, f"{key} {kind}, medoid {kind}, distance double")

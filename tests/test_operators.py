@@ -174,3 +174,18 @@ def test_fusion_keeps_every_match(spark):
     data = "/root/testdata/sf0.01"
     matches = corpus._coverage(spark, data).where("coverage > 0 or jaccard > 0").count()
     assert matches > 400 and corpus.QUERIES["corpus_rrf_whole"](spark, data).count() == matches
+
+
+def test_medoids_of_all_rows(spark):
+    import numpy as np
+
+    from palimpsest.operators import dense
+
+    x = np.random.default_rng(1).normal(size=(2_500, 2))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, v array<double>")
+    out = {r.id: r.medoid for r in dense.k_medoids(df, "id", "v", 3, rounds=40).collect()}
+    assert len(out) == len(x)
+    for m in set(out.values()):
+        members = x[[i for i, at in out.items() if at == m]]
+        costs = np.sqrt(((members[:, None] - members) ** 2).sum(2)).sum(1)
+        assert np.sqrt(((members - x[m]) ** 2).sum(1)).sum() <= costs.min() + 1e-5
