@@ -79,20 +79,23 @@ def orphans(edges: DataFrame, column: str, table: DataFrame, key: str) -> DataFr
     return edges.join(table.select(F.col(key).alias(column)), column, "left_anti")
 
 
-def lineage(evidence: DataFrame, max_depth: int = 16) -> DataFrame:
+def lineage(evidence: DataFrame, max_depth: int = 1_000) -> DataFrame:
     """(memory_id, source_memory_id, depth): every direct and indirect source at its shortest distance.
 
     Breadth first, one join a level; only new pairs go on, so cycles end and come out once (a memory may be its own source).
+    Sources farther than ``max_depth`` raise an error.
     """
     edges = evidence.select("memory_id", "source_memory_id").where("memory_id is not null and source_memory_id is not null").distinct()
     reached = checkpoint(edges.withColumn("depth", F.lit(1)))
     front = reached
-    for depth in range(2, max_depth + 1):
+    for depth in range(2, max_depth + 2):
         onward = front.select("memory_id", F.col("source_memory_id").alias("via")).join(edges.toDF("via", "source_memory_id"), "via")
         new = onward.select("memory_id", "source_memory_id").distinct().join(reached, ["memory_id", "source_memory_id"], "left_anti")
         front = checkpoint(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
+        if depth > max_depth:
+            raise ValueError(f"lineage deeper than {max_depth}")
         reached = reached.unionByName(front)
     return reached
 

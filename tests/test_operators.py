@@ -168,6 +168,14 @@ def test_two_hops_from_every_node(spark):
     assert {(r.seed, r.node): r.hop for r in relations.QUERIES["graph_two_hops_whole"](spark, data).collect()} == want
 
 
+def test_lineage_of_a_long_chain(spark):
+    e = spark.createDataFrame([(f"m{i:02}", f"m{i + 1:02}") for i in range(18)], "memory_id string, source_memory_id string")
+    got = {(r.memory_id, r.source_memory_id): r.depth for r in lifecycle.lineage(e).collect()}
+    assert got["m00", "m18"] == 18 and len(got) == 18 * 19 // 2
+    with pytest.raises(ValueError, match="deeper"):
+        lifecycle.lineage(e, max_depth=3)
+
+
 def test_fusion_keeps_every_match(spark):
     from palimpsest.plans import corpus
 
