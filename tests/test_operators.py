@@ -189,7 +189,7 @@ def test_medoids_of_all_rows(spark):
 
     from palimpsest.operators import dense
 
-    x = np.random.default_rng(1).normal(size=(2_500, 2))
+    x = np.random.default_rng(1).normal(size=(5_000, 2))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, v array<double>")
     out = {r.id: r.medoid for r in dense.k_medoids(df, "id", "v", 3, rounds=40).collect()}
     assert len(out) == len(x)
