@@ -22,12 +22,15 @@ def change_key() -> Column:
     )
 
 
-def first_deliveries(log: DataFrame, *carried: str) -> DataFrame:
+def first_deliveries(log: DataFrame, *carried: str, key: str | None = None) -> DataFrame:
     """One row per change: ``arrival``, ``id`` and the carried columns of the delivery that arrived first.
 
+    ``key`` names a column for the change's identity, a digest of :func:`change_key`.
+
     Equal arrivals are ordered by row id. Deliveries without ``created_at`` never arrived and are left out. The minimum
     is pre-aggregated before the shuffle, so a change delivered a million times costs one row a map task.
     """
     rest = [c for c in carried if c not in ("id", "created_at")]
     picked = F.min(F.struct(F.col("created_at").alias("arrival"), "id", *rest)).alias("first")
-    return log.where(F.col("created_at").isNotNull()).groupBy(change_key().alias("change")).agg(picked).select("first.*")
+    first = log.where(F.col("created_at").isNotNull()).groupBy(change_key().alias("change")).agg(picked)
+    return first.select("first.*", *([F.unhex(F.sha2(F.to_json("change"), 256)).alias(key)] if key else []))

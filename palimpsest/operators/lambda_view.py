@@ -2,61 +2,55 @@
 
 Two layers answer together. The fast layer only increments: a change that arrives adds one to the provisional count of
 its period. The batch layer recomputes every open period from the full log, replaces the provisional figure, and
-freezes a period once its cut-off has passed; arrivals after that count nowhere. Here both are one declarative plan over
-the log; :mod:`palimpsest.streaming.lambda_store` keeps the same layers as tables between runs.
+freezes a period once its cut-off has passed; arrivals after that count nowhere. The pieces of both layers are here;
+:mod:`palimpsest.streaming.lambda_store` keeps them as tables and runs them.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.changes import first_deliveries
 
-PUBLISH_AFTER = "INTERVAL 1 HOUR"
-CUT_OFF = "INTERVAL 72 HOURS"
+PUBLISH_AFTER = timedelta(hours=1)
+CUT_OFF = timedelta(hours=72)
 
 
 def day_end(day: Column) -> Column:
     return F.date_add(day, 1).cast("timestamp_ntz")
 
 
-def dated_changes(log: DataFrame) -> DataFrame:
-    """``tenant_id``, ``day`` and ``arrival`` of every change; a change without a time belongs to no period."""
-    first = first_deliveries(log, "tenant_id", "occurred_at").where(F.col("occurred_at").isNotNull())
-    return first.select("tenant_id", F.to_date("occurred_at").alias("day"), "arrival")
+def first_open_day(as_of: datetime, cut_off: timedelta = CUT_OFF) -> date:
+    """The earliest day whose cut-off lies after ``as_of``."""
+    return (as_of - timedelta(days=1) - cut_off).date() + timedelta(days=1)
 
 
-def fast_increments(changes: DataFrame, publish_after: str = PUBLISH_AFTER) -> DataFrame:
-    """The fast layer's increments: changes of a period that arrived before it was published, per arrival hour."""
-    seen = changes.where(F.col("arrival") < day_end(F.col("day")) + F.expr(publish_after))
-    return seen.groupBy("tenant_id", "day", F.date_trunc("hour", "arrival").alias("arrival_hour")).agg(F.count(F.lit(1)).alias("n"))
+def dated_changes(log: DataFrame) -> DataFrame:
+    """``tenant_id``, ``day``, ``arrival`` and ``change`` of every change; one without a time belongs to no period."""
+    first = first_deliveries(log, "tenant_id", "occurred_at", key="change").where(F.col("occurred_at").isNotNull())
+    return first.select("tenant_id", F.to_date("occurred_at").alias("day"), "arrival", "change")
 
 
-def layered_counts(log: DataFrame, publish_after: str = PUBLISH_AFTER, cut_off: str = CUT_OFF, as_of: datetime | None = None) -> DataFrame:
-    """One row per tenant and day: ``n_first`` as published, ``n_final`` as corrected, ``frozen``.
+def fast_increments(changes: DataFrame, cut_off: timedelta = CUT_OFF) -> DataFrame:
+    """(tenant_id, day, arrival_hour, n): what arriving changes add to their periods.
 
-    ``as_of`` limits both layers to what had arrived by then (exclusive) and marks the periods whose cut-off had passed;
-    None means after every cut-off. Null tenants form a tenant of their own. An empty log gives no rows. Both layers read
-    one shuffle of changes; the counts are pre-aggregated, so a tenant with a third of all rows costs no more.
+    Changes past the cut-off add nothing, but leave a row, so their period is known.
     """
-    changes = dated_changes(log)
-    end = day_end(F.col("day"))
-    if as_of is not None:
-        changes = changes.where(F.col("arrival") < F.lit(as_of).cast("timestamp_ntz"))
-    first, final = F.col("arrival") < end + F.expr(publish_after), F.col("arrival") < end + F.expr(cut_off)
-    frozen = F.lit(True) if as_of is None else F.col("day_end") + F.expr(cut_off) <= F.lit(as_of).cast("timestamp_ntz")
-    return (
-        changes.groupBy("tenant_id", "day")
-        .agg(F.count_if(first).alias("n_first"), F.count_if(final).alias("n_final"))
-        .withColumn("day_end", day_end(F.col("day")))
-        .select("tenant_id", F.col("day").cast("string").alias("event_day"), "n_first", "n_final", frozen.alias("frozen"))
-    )
-
-
-def corrected_periods(log: DataFrame) -> DataFrame:
-    """The periods whose published count differs from the final one."""
-    counts = layered_counts(log)
-    return counts.where(F.col("n_first") != F.col("n_final")).select("tenant_id", "event_day", "n_first", "n_final")
+    counts = F.col("arrival") < day_end(F.col("day")) + F.lit(cut_off)
+    return changes.groupBy("tenant_id", "day", F.date_trunc("hour", "arrival").alias("arrival_hour")).agg(F.count_if(counts).alias("n"))
+
+
+def published(increments: DataFrame, publish_after: timedelta = PUBLISH_AFTER) -> DataFrame:
+    """(tenant_id, day, n): the provisional counts of the fast layer at the hour a period was published."""
+    seen = F.col("arrival_hour") < day_end(F.col("day")) + F.lit(publish_after)
+    return increments.groupBy("tenant_id", "day").agg(F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("n"))
+
+
+def recomputed(changes: DataFrame, as_of: datetime, cut_off: timedelta = CUT_OFF) -> DataFrame:
+    """(tenant_id, day, n, closed): the batch layer's counts of the periods of ``changes`` as of an instant."""
+    end = day_end(F.col("day")) + F.lit(cut_off)
+    counts = changes.where(F.col("arrival") < F.lit(as_of).cast("timestamp_ntz")).groupBy("tenant_id", "day").agg(F.count_if(F.col("arrival") < end).alias("n"))
+    return counts.withColumn("closed", end <= F.lit(as_of).cast("timestamp_ntz"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from palimpsest.operators import lambda_view, replay
-from palimpsest.session import table
+from palimpsest.session import shared_folder, table
+from palimpsest.streaming.lambda_store import LambdaStore, corrected_periods, played
 
 _FIRST = """
 first_rows AS (
@@ -24,9 +25,14 @@ counts AS (
   FROM first_rows WHERE occurred_at IS NOT NULL GROUP BY 1, 2)
 """
 
+
+def _layers(s, d, view):
+    return view(table(s, d, "memory_events"), LambdaStore(s, shared_folder(s, "lambda")))
+
+
 QUERIES = {
-    "p2_found": lambda s, d: lambda_view.corrected_periods(table(s, d, "memory_events")),
-    "p2_serving": lambda s, d: lambda_view.layered_counts(table(s, d, "memory_events")),
+    "p2_found": lambda s, d: _layers(s, d, corrected_periods),
+    "p2_serving": lambda s, d: _layers(s, d, played),
     "p2_fast_layer": lambda s, d: lambda_view.fast_increments(lambda_view.dated_changes(table(s, d, "memory_events"))),
     "p4_found": lambda s, d: replay.current_memories(table(s, d, "memory_events")),
     "p4_committed": lambda s, d: replay.committed_changes(_order_parts(s, d)).select("tx_id", "part_no"),
@@ -66,9 +72,9 @@ SQL = {
     "p2_serving": _COUNTS + "SELECT *, true AS frozen FROM counts",
     "p2_fast_layer": f"""
 WITH {_FIRST}
-SELECT tenant_id, CAST(occurred_at AS DATE) AS day, date_trunc('hour', created_at) AS arrival_hour, count(*) AS n
-FROM first_rows
-WHERE created_at < CAST(CAST(occurred_at AS DATE) AS TIMESTAMP) + INTERVAL 25 HOUR GROUP BY 1, 2, 3
+SELECT tenant_id, CAST(occurred_at AS DATE) AS day, date_trunc('hour', created_at) AS arrival_hour,
+  count(*) FILTER (WHERE created_at < CAST(CAST(occurred_at AS DATE) AS TIMESTAMP) + INTERVAL 96 HOUR) AS n
+FROM first_rows WHERE occurred_at IS NOT NULL GROUP BY 1, 2, 3
 """,
     "p4_found": f"""
 WITH {_FIRST},
