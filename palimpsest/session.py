@@ -50,7 +50,7 @@ def bucket_count(df: DataFrame, expansion: float, bucket_bytes: int = 64 << 20)
     """Buckets for an exchange of ``expansion`` times the size of ``df``, each of about ``bucket_bytes``.
 
     At least one a shuffle partition, so a small input still uses every core; it grows with the data, so one bucket always
-    fits in one task.
+    fits in one task. Where the optimizer doesn't know the size (an RDD without statistics), it is one a partition.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(partitions, int(plan_bytes(df) * expansion / bucket_bytes) + 1)
+    partitions, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return max(partitions, int(size * expansion / bucket_bytes) + 1) if size < 1 << 60 else partitions

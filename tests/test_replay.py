@@ -61,6 +61,35 @@ def test_deliveries(spark):
     assert replay.current_memories(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_a_gap_holds_what_comes_after_it(spark):
+    schema = "id string, memory_id string, scope_key string, event_type string, payload_json string, idempotency_key string, occurred_at timestamp_ntz, created_at timestamp_ntz, tx_id string, part_no int, tx_size int, commit_seq long"
+    t = lambda h: T0 + timedelta(hours=h)
+    row = lambda i, m, kind, h, tx, part, size, seq, payload="{}": (i, m, "s", kind, payload, None, t(h), t(h), tx, part, size, seq)
+    rows = [
+        row("1", "m", "remembered", 1, "a", 1, 2, 1), row("2", "n", "remembered", 1, "a", 2, 2, 1), row("2", "n", "remembered", 1, "a", 2, 2, 1),
+        row("3", "m", "superseded", 2, "b", 1, 1, 2), row("4", "m", "reinforced", 3, "c", 1, 2, 3),  # half of it
+        row("6", "n", "contradicted", 9, "d", 1, 1, 4), row("7", "o", "remembered", 9, "e", 1, 1, 6),
+    ]
+    state = lambda r: {tuple(x) for x in replay.current_memories(spark.createDataFrame(r, schema)).collect()}
+    assert state(rows) == {("m", "superseded", None, "3"), ("n", "active", None, "2")}
+    whole = rows + [row("5", "n", "reinforced", 3, "c", 2, 2, 3, "{broken")]  # a part of no effect completes its transaction
+    assert state(whole) == {("m", "superseded", None, "4"), ("n", "contradicted", None, "6")}
+    assert state(whole + [row("8", "o", "forgotten", 1, "f", 1, 1, 5)]) == {("m", "superseded", None, "4"), ("n", "contradicted", None, "6"), ("o", "active", None, "7")}
+    assert state(rows[4:]) == set()  # nothing from the first number on
+
+
+def test_numbers_are_dense_and_follow_the_order(spark):
+    rows = [(i % 7 if i % 5 else None, i) for i in range(500)]
+    got = replay.numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), ["a", "b"]).orderBy("commit_seq").collect()
+    assert [r.commit_seq for r in got] == list(range(1, 501))
+    assert [(r.a, r.b) for r in got] == sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1]))
+
+
+def test_one_instant_is_spread_over_stretches(spark):
+    rows = [("m", "remembered" if i == 0 else "reinforced", False, T0, T0, f"e{i:05}") for i in range(3000)]
+    assert [tuple(r) for r in replay.replay(spark.createDataFrame(rows, SCHEMA), 100).collect()] == [("m", "active", None, "e02999")]
+
+
 def test_many_rows_that_name_no_memory(spark):
     schema = "id string, memory_id string, scope_key string, event_type string, payload_json string, idempotency_key string, occurred_at timestamp_ntz, created_at timestamp_ntz"
     t = lambda h: T0 + timedelta(hours=h)
