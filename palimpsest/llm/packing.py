@@ -15,57 +15,96 @@ from pyspark.sql import functions as F
 from palimpsest.llm.tokenizers import FOLDER, counter
 
 #: Texts packed together in one task; large enough that the last, unfilled containers of a group don't matter.
-GROUP_TEXTS = 100_000
+GROUP_TEXTS = 25_000
 #: Containers of a step group, whose costs are balanced against the other groups'.
 STEP = 64
+#: Context sizes of the tiers: the capacity, and each a fourth of the one before.
+TIERS, NARROWER = 4, 4
+#: Share of its context size that a window of a tier may leave empty and still be stacked.
+LOOSE = 1 / 128
 
 
-class Tiers:
-    """Packs sizes into containers of ``capacity``, longest tier first.
+class Room:
+    """Rooms with gaps; an item goes where it leaves the least."""
 
-    Tier t holds sizes in (capacity / 2^(t+1), capacity / 2^t]. Every tier is packed best fit into what the longer tiers
-    left open, so gaps of long windows are filled from shorter tiers, and opens containers for the rest.
-    """
-
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    def __init__(self):
         self.gaps: list[int] = []  # distinct gaps, ascending
-        self.open: dict[int, list[int]] = {}  # gap -> containers
-        self.load: list[int] = []
+        self.open: dict[int, list[int]] = {}  # gap -> rooms
 
-    def _keep(self, container: int, gap: int) -> None:
+    def add(self, room: int, gap: int) -> None:
         if gap not in self.open:
             self.open[gap] = []
             insort(self.gaps, gap)
-        self.open[gap].append(container)
+        self.open[gap].append(room)
 
-    def put(self, size: int) -> int:
-        """The container that takes an item: the one it fills best, else a new one."""
+    def take(self, size: int) -> int | None:
+        """The room that an item fills best, None if it fits nowhere."""
         at = bisect_left(self.gaps, size)
         if at == len(self.gaps):
-            container, gap = len(self.load), self.capacity
-            self.load.append(0)
-        else:
-            gap = self.gaps[at]
-            held = self.open[gap]
-            container = held.pop()
-            if not held:
-                del self.open[gap], self.gaps[at]
-        self.load[container] += size
-        self._keep(container, gap - size)
-        return container
-
-    @staticmethod
-    def tier(sizes: np.ndarray, capacity: int) -> np.ndarray:
-        """Number of halvings of ``capacity`` that still hold each size."""
-        return np.floor(np.log2(capacity / np.maximum(sizes, 1))).astype(np.int64)
-
-    def pack(self, sizes: np.ndarray) -> np.ndarray:
-        where = np.empty(len(sizes), np.int64)
-        tiers = self.tier(sizes, self.capacity)
-        for i in np.lexsort((-sizes, tiers)):  # tier by tier, each from its longest item down
-            where[i] = self.put(int(sizes[i]))
-        return where
+            return None
+        gap = self.gaps[at]
+        held = self.open[gap]
+        room = held.pop()
+        if not held:
+            del self.open[gap], self.gaps[at]
+        self.add(room, gap - size)
+        return room
+
+
+def tier_of(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The tier each size is routed to: that of the smallest context size that holds it."""
+    tier = np.zeros(len(sizes), np.int64)
+    for t in range(1, TIERS):
+        tier[sizes <= capacity // NARROWER**t] = t
+    return tier
+
+
+def pack_tiers(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(container, tier) of each size, packed from the longest tier to the shortest.
+
+    Texts of a tier first fill the gaps that longer tiers left in their containers. The others are packed, longest first,
+    into windows of their tier's own context size, and full windows are stacked into containers, whose gaps stand open to
+    the shorter tiers. Windows that stay loose are undone; their texts, and those of the shortest tier, which nobody comes
+    after, go into containers directly.
+    """
+    tiers = tier_of(sizes, capacity)
+    where, containers, room = np.empty(len(sizes), np.int64), 0, Room()
+    for t in range(TIERS):
+        wide, stacked = capacity // NARROWER**t, NARROWER**t
+        own, windows, direct = Room(), [], []
+        members = np.flatnonzero(tiers == t)
+        for i in members[np.argsort(-sizes[members], kind="stable")]:
+            size = int(sizes[i])
+            at = room.take(size)
+            if at is not None:
+                where[i] = at
+            elif t in (0, TIERS - 1):
+                direct.append(i)
+            else:
+                at = own.take(size)
+                if at is None:
+                    at = len(windows)
+                    windows.append([])
+                    own.add(at, wide - size)
+                windows[at].append(i)
+        loads = [int(sizes[w].sum()) for w in windows]
+        tight = [n for n, load in enumerate(loads) if load >= wide * (1 - LOOSE)]
+        for n in range(0, len(tight), stacked):
+            stack = tight[n : n + stacked]
+            for w in stack:
+                where[windows[w]] = containers
+            room.add(containers, capacity - sum(loads[w] for w in stack))
+            containers += 1
+        direct += [i for n, w in enumerate(windows) if loads[n] < wide * (1 - LOOSE) for i in w]
+        for i in sorted(direct, key=lambda i: -sizes[i]):
+            size = int(sizes[i])
+            at = room.take(size)
+            if at is None:
+                at = containers
+                room.add(at, capacity - size)
+                containers += 1
+            where[i] = at
+    return where, tiers
 
 
 def pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +129,7 @@ def step_groups(costs: np.ndarray, step: int) -> np.ndarray:
 def pack_window(ids: np.ndarray, sizes: np.ndarray, capacity: int, step: int = STEP) -> pd.DataFrame:
     item, piece, start, end = pieces(sizes, capacity)
     length = end - start
-    container = Tiers(capacity).pack(length)
+    container, _ = pack_tiers(length, capacity)
     order = np.lexsort((piece, item, container))
     item, piece, start, end, length, container = (x[order] for x in (item, piece, start, end, length, container))
     first = np.searchsorted(container, container)
@@ -140,22 +179,24 @@ def pack(documents: DataFrame, windows: DataFrame, folder: str = FOLDER, group_t
 
     ``windows`` (``window_id, tokenizer, capacity_tokens``) is a parameter table of a few rows. Returns one row per placed
     piece: ``window_id, container_id, step_group, position, doc_id, piece, token_start, token_end``. A text is cut only if
-    it alone exceeds the capacity; a text of no tokens takes no room. Texts are spread over groups by hash of ``doc_id``
-    and each group is packed in a task of its own, so only sizes are shuffled and no task holds more than a group. Null
-    and empty texts aren't packed; repeated rows are packed as often as they occur; no windows or no texts give no rows.
+    it alone exceeds the capacity; a text of no tokens takes no room. Rows are spread evenly over groups, whatever their
+    ``doc_id``, and each group is packed in a task of its own, so only sizes are shuffled and no task holds more than a
+    group. Null and empty texts aren't packed; repeated rows are packed as often as they occur; no windows or no texts
+    give no rows.
     """
     rows = windows.where("capacity_tokens > 0").select("window_id", "tokenizer", "capacity_tokens").collect()
     chosen = tuple(sorted((r[0], r[1], r[2]) for r in rows))
     names = tuple(sorted({w[1] for w in chosen}))
     if not chosen:
         return documents.sparkSession.createDataFrame([], _OUT)
-    groups = max(1, round(documents.select("doc_id").count() / group_texts))
-    sizes = token_sizes(documents, list(names), folder).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    groups = max(1, round(documents.select("doc_id").count() / group_texts))  # rows are counted from the files' footers
+    salted = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups))
+    sizes = token_sizes(documents, list(names), folder).withColumn("g", salted)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return _pack_group(key, group, chosen, names, step)
 
-    return sizes.groupBy("g").applyInPandas(run, _OUT)
+    return sizes.repartition(max(groups, 1), "g").groupBy("g").applyInPandas(run, _OUT)
 
 
 def fill(packed: DataFrame, windows: DataFrame) -> DataFrame:

@@ -92,6 +92,36 @@ def test_tiers_leave_little_room():
     assert cost[full].max() / cost[full].mean() < 1.1
 
 
+def test_tiers_differ_from_best_fit_decreasing():
+    sizes = np.random.default_rng(3).integers(20, 700, 400)
+    where, tiers = packing.pack_tiers(sizes, 1024)
+    assert sizes[tiers == 0].min() > 256 >= sizes[tiers == 1].max() and sizes[tiers == 1].min() > 64 >= sizes[tiers == 2].max()
+    load = np.bincount(where, sizes)
+    assert load.max() <= 1024 and load.sum() == sizes.sum() and load.sum() / (len(load) * 1024) > 0.98
+    room, plain = packing.Room(), []
+    order = np.argsort(-sizes, kind="stable")
+    for n in sizes[order]:
+        at = room.take(int(n))
+        if at is None:
+            at = len(set(plain))
+            room.add(at, 1024 - int(n))
+        plain.append(at)
+    filled = lambda sizes, where: sorted(sorted(sizes[where == c].tolist()) for c in set(where.tolist()))
+    assert filled(sizes, where) != filled(sizes[order], np.array(plain))
+
+
+def test_windows_of_a_tier_are_stacked():
+    where, _ = packing.pack_tiers(np.array([128, 128] * 6 + [200, 190]), 1024)
+    assert len(set(where[:8])) == 1 and len(set(where[8:])) == 1  # the loose 200 and 190 fill what is left
+
+
+def test_repeated_ids_are_spread(spark):
+    windows = spark.createDataFrame([(1, "byte_bpe_50k", 64)], "window_id bigint, tokenizer string, capacity_tokens bigint")
+    rows = spark.createDataFrame([(None if i % 2 else 7, "some words " * (1 + i % 9)) for i in range(400)], "doc_id bigint, text string")
+    packed = packing.pack(rows, windows, group_texts=100).collect()
+    assert len(packed) == 400 and len({r.container_id >> 32 for r in packed}) == 4
+
+
 def test_step_groups_are_even():
     r = random.Random(1)
     costs = np.array([r.random() for _ in range(640)])
