@@ -54,3 +54,8 @@ def bucket_count(df: DataFrame, expansion: float, bucket_bytes: int = 64 << 20)
     """
     partitions, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
     return max(partitions, int(size * expansion / bucket_bytes) + 1) if size < 1 << 60 else partitions
+
+
+def by_bucket(df: DataFrame, buckets: int):
+    """``df`` grouped by ``bucket`` (an int below ``buckets``), with a task of its own for every bucket."""
+    return df.repartitionById(buckets, df["bucket"]).groupBy("bucket")
