@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.exchange import bucket_of, mix64, pack, runs, unpack
-from palimpsest.session import bucket_count
+from palimpsest.session import bucket_count, by_bucket
 
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 5, 0.5
 RADIUS, PLACES, BLOCKS = 2, 6, 6
-#: Records of a bucket's group up to which all are compared; larger groups are divided again by the same masks.
-FEW = 64
+#: Records under one key up to which they are compared side by side, and in blocks; larger groups go to an exact join.
+FEW, HOT = 64, 2048
 #: Input bytes, as stored, whose keys make a bucket: some 4 million keys, or 300 MB of a task's memory.
 BUCKET_BYTES = 32 << 20
 #: Keys packed together before they are sent.
@@ -162,7 +162,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch], sketch: Sketch, buckets: int
         start, length = runs(bucket)
         nothing = np.zeros(int(length.max()), np.uint32)
         blobs = [pack(h[a : a + n], classes[owner[a : a + n]], nothing[:n], brief[owner[a : a + n]]) for a, n in zip(start, length)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     for batch in batches:
         texts = batch.column(0).to_pylist()
@@ -178,10 +178,12 @@ def _key_batches(batches: Iterator[pa.RecordBatch], sketch: Sketch, buckets: int
         yield flush()
 
 
-def _group_pairs(h: np.ndarray, item: np.ndarray, brief: np.ndarray, least: int, sketch: Sketch) -> list[np.ndarray]:
-    """Pairs (as rows of two items) of equal ``h`` whose brief sketches agree enough. ``h`` is sorted, items are distinct in it."""
+def _group_pairs(h: np.ndarray, item: np.ndarray, brief: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(pairs, hot items) of equal ``h``: pairs, as rows of two items, whose brief sketches agree enough, and the members of
+    groups of more than ``HOT``, which aren't compared here. ``h`` is sorted, items are distinct in it.
+    """
     start, length = runs(h)
-    found = []
+    found = [np.zeros((0, 2), np.int64)]
     small = length <= FEW
     end = np.repeat(np.where(small, start + length, 0), length)
     at = np.arange(len(h))
@@ -196,34 +198,21 @@ def _group_pairs(h: np.ndarray, item: np.ndarray, brief: np.ndarray, least: int,
             found.append(np.stack([x[ok], y[ok]], 1))
         i += 1
     for s, n in zip(start[~small], length[~small]):
-        found += _divided(item[s : s + n], brief, least, sketch)
-    return found
-
+        if n <= HOT:
+            found += _block_pairs(item[s : s + n], brief, least)
+    return found, np.unique(item[np.repeat(length > HOT, length)])
 
-def _divided(items: np.ndarray, brief: np.ndarray, least: int, sketch: Sketch) -> list[np.ndarray]:
-    """Pairs of a large group: its members are hashed again by all masks over their brief sketches.
 
-    What still falls together in great numbers is compared in blocks, so nothing is dropped.
-    """
-    low = np.empty((len(items), sketch.width), np.uint64)
-    low[:, 0::2], low[:, 1::2] = brief[items] & 15, brief[items] >> 4
-    keys = sketch.keys(mix64(low + np.uint64(1)))
+def _block_pairs(items: np.ndarray, brief: np.ndarray, least: int) -> list[np.ndarray]:
     found = []
-    for t in range(keys.shape[1]):
-        order = np.argsort(keys[:, t], kind="stable")
-        member = items[order]
-        for s, n in zip(*runs(keys[order, t])):
-            if n < 2:
-                continue
-            part = member[s : s + n]
-            for a in range(0, n, 256):
-                rest = part[a:]
-                for i in range(min(256, n - a)):
-                    if i + 1 < len(rest):
-                        ok = agreement(brief[rest[i]][None, :], brief[rest[i + 1 :]]) >= least
-                        if ok.any():
-                            found.append(np.stack([np.full(ok.sum(), rest[i]), rest[i + 1 :][ok]], 1))
-    return [np.unique(np.sort(np.concatenate(found), 1), axis=0)] if found else []
+    for a in range(0, len(items), 128):
+        rest = items[a:]
+        x = brief[rest[:128], None, :] ^ brief[None, rest, :]
+        agree = ((x & 15) == 0).sum(2, dtype=np.uint8) + ((x >> 4) == 0).sum(2, dtype=np.uint8)
+        r, c = np.nonzero(agree >= least)
+        later = c > r
+        found.append(np.stack([rest[r[later]], rest[c[later]]], 1))
+    return found
 
 
 def _candidates_of_bucket(table: pa.Table, sketch: Sketch, least: int) -> pa.Table:
@@ -241,14 +230,18 @@ def _candidates_of_bucket(table: pa.Table, sketch: Sketch, least: int) -> pa.Tab
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (item[1:] == item[:-1])
     h, item = h[~same], item[~same]
-    found = _group_pairs(h, item, brief, least, sketch)
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    pairs = np.unique(np.sort(kept[pairs], 1), axis=0) if len(pairs) else pairs
-    return pa.table({"a": pa.array(pairs[:, 0].astype(np.int64)), "b": pa.array(pairs[:, 1].astype(np.int64))})
+    found, crowd = _group_pairs(h, item, brief, least)
+    pairs = np.unique(np.sort(kept[np.concatenate(found)], 1), axis=0)
+    a, b = (np.concatenate([pairs[:, i], kept[crowd]]).astype(np.int64) for i in (0, 1))
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "hot": pa.array(np.arange(len(a)) >= len(pairs))})
 
 
 def candidates(texts: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None) -> DataFrame:
-    """(a, b) pairs of classes that collide in some table and whose brief sketches don't rule the threshold out."""
+    """(a, b, hot): pairs of classes that collide in some table and whose brief sketches don't rule the threshold out.
+
+    A class that meets more than ``HOT`` others under one key comes as (class, class, true) instead of with its pairs. A
+    key held by m classes takes 32 bytes of each in one task.
+    """
     sketch = Sketch()
     buckets, least = buckets or bucket_count(texts, 1.0, BUCKET_BYTES), sketch.least_agreement(threshold)
 
@@ -258,8 +251,37 @@ def candidates(texts: DataFrame, threshold: float = THRESHOLD, buckets: int | No
     def collide(table: pa.Table) -> pa.Table:
         return _candidates_of_bucket(table, sketch, least)
 
-    packed = texts.select("text").where(F.col("text").isNotNull()).mapInArrow(keys, "bucket bigint, blob binary")
-    return packed.groupBy("bucket").applyInArrow(collide, "a bigint, b bigint").distinct()
+    packed = texts.select("text").where(F.col("text").isNotNull()).mapInArrow(keys, "bucket int, blob binary")
+    return by_bucket(packed, buckets).applyInArrow(collide, "a bigint, b bigint, hot boolean").distinct()
+
+
+def similar_sets(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose sets (``class, shingles``) are similar enough."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    jaccard = common / (F.size("sa") + F.size("sb") - common)
+    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard): all similar pairs of ``sets``, without sketches: two similar sets share one of their rarest members.
+
+    Members are ordered by how many sets hold them. Of n members, any set that is similar enough shares one of the first
+    n - ceil(threshold n) + 1, so what many records have in common, such as an opening, brings nobody together unless it
+    makes up that much of a record.
+    """
+    held = sets.select("class", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    spread = held.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+    # a member no other set holds comes first and brings nobody together, so it only shortens the rest
+    rare = F.sort_array(F.collect_list(F.struct("f", "s")))
+    listed = held.join(spread, "s").groupBy("class", "n").agg(rare.alias("rare"))
+    rest = length - (F.col("n") - F.size("rare"))
+    first = listed.where(rest > 0).select("class", "n", F.explode(F.slice("rare", F.lit(1), rest)).alias("m")).select("class", "n", F.col("m.s").alias("s"))
+    x, y = first.toDF("a", "na", "s"), first.toDF("b", "nb", "s")
+    near = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
+    pairs = x.join(y, "s").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return similar_sets(pairs, sets, threshold)
 
 
 def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +305,8 @@ class NearDuplicates:
 
     ``members`` (id, class): one row per text of at least ``MIN_WORDS`` words. ``links`` (a, b, jaccard): pairs of
     different classes, a < b, whose shingle sets have a Jaccard similarity of ``threshold`` or more. Null, empty and short
-    texts and null ids belong to nothing; repeated rows fall into one class; an empty table has no members.
+    texts and null ids belong to nothing; repeated rows fall into one class; an empty table has no members. Classes that
+    meet too many others under one key are linked by :func:`exact_links`.
 
     Sets are compared by 32 bits a shingle: two different shingles of a pair are taken for one in about one of 500,000
     pairs, where the similarity is then off by a hundredth or so.
@@ -293,6 +316,7 @@ class NearDuplicates:
         slim = texts.select(F.col(key).alias("id"), F.col(text).alias("text"))
         kind = slim.schema["id"].dataType.simpleString()
         pairs = candidates(slim, threshold, bucket_count(texts, 1.0, BUCKET_BYTES)).persist(StorageLevel.MEMORY_AND_DISK)
+        crowd = pairs.where("hot").select(F.col("a").alias("class"))
         linked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
         needed = F.broadcast(linked) if linked.count() <= MAX_BROADCAST else linked
         labels = slim.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_label_batches, f"id {kind}, class bigint, shingles array<int>")
@@ -301,10 +325,9 @@ class NearDuplicates:
         kept.count()  # once, before several branches ask for it on several executors
         self.members = kept.select("id", "class").distinct()
         sets = kept.where(F.col("shingles").isNotNull()).dropDuplicates(["class"]).select("class", "shingles")
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        jaccard = common / (F.size("sa") + F.size("sb") - common)
-        self.links = both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+        self.links = similar_sets(pairs.where("not hot").select("a", "b"), sets, threshold)
+        if not crowd.isEmpty():
+            self.links = self.links.union(exact_links(sets.join(crowd, "class", "left_semi"), threshold)).distinct()
 
 
 def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.exchange import bucket_of, mix64, pack, runs, unpack
-from palimpsest.session import bucket_count
+from palimpsest.session import bucket_count, by_bucket
 
 MIN_CHARS = 200
 #: Characters hashed at a time; longer texts are cut into overlapping parts of this length.
@@ -106,7 +106,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], min_chars: int, buckets:
         h, place, owner, bucket = h[order], place[order], owner[order], bucket[order]
         start, length = runs(bucket)
         blobs = [pack(h[a : a + n], owner[a : a + n], place[a : a + n]) for a, n in zip(start, length)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -151,8 +151,8 @@ def shared_anchors(documents: DataFrame, min_chars: int = MIN_CHARS, buckets: in
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _anchor_batches(batches, min_chars, buckets)
 
-    packed = usable.mapInArrow(anchors, "bucket bigint, blob binary")
-    return packed.groupBy("bucket").applyInArrow(_shared_anchors, "anchor bigint, doc_id bigint, place bigint, size bigint")
+    packed = usable.mapInArrow(anchors, "bucket int, blob binary")
+    return by_bucket(packed, buckets).applyInArrow(_shared_anchors, "anchor bigint, doc_id bigint, place bigint, size bigint")
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -317,8 +317,8 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return _spans_of_bucket(table, Cover(min_chars))
 
     out = "doc_id bigint, span_start bigint, span_end bigint"
-    usual = around.where(F.col("size") <= MANY).withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
-    spans = usual.groupBy("bucket").applyInArrow(settle, out)
+    usual = around.where(F.col("size") <= MANY).withColumn("bucket", F.pmod("anchor", F.lit(buckets)).cast("int"))
+    spans = by_bucket(usual, buckets).applyInArrow(settle, out)
     if not hits.where(F.col("size") > MANY).isEmpty():
         spans = spans.unionByName(_spans_of_many(around.where(F.col("size") > MANY), min_chars))
     return merge_spans(spans)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.exchange import runs
-from palimpsest.session import bucket_count
+from palimpsest.session import bucket_count, by_bucket
 
 BITS, BYTES, WORDS = 1024, 128, 16
 K = 5
@@ -250,7 +250,7 @@ def _posting_batches(batches: Iterator[pa.RecordBatch], graph: Graph, buckets: i
         row, to = row[order], to[order]
         start, length = runs(to)
         blobs = [_pack(code[r], [keys[i] for i in r], lists[r]) for r in (row[s : s + n] for s, n in zip(start, length))]
-        yield pa.RecordBatch.from_arrays([pa.array(to[start], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(to[start], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
 def _shuffled_bits(v: np.ndarray) -> np.ndarray:
@@ -420,7 +420,7 @@ def nearest(codes: DataFrame, k: int = K, radius: int = RADIUS, list_size: int =
     def neighbours(table: pa.Table) -> pa.Table:
         return _neighbours_of_bucket(table, buckets, n_lists, k, radius)
 
-    found = main.mapInArrow(postings, "bucket bigint, blob binary").groupBy("bucket").applyInArrow(neighbours, schema)
+    found = by_bucket(main.mapInArrow(postings, "bucket int, blob binary"), buckets).applyInArrow(neighbours, schema)
     if copies is not None:
         found = found.unionByName(copies)
     # at most k rows a list of each key

@@ -62,7 +62,7 @@ def test_masks_cover_the_radius(radius, places):
         assert (~masks[:, list(differ)].any(1)).any()
 
 
-def test_large_groups_lose_nothing(monkeypatch):
+def test_blocks_find_what_single_steps_find(monkeypatch):
     rng = np.random.default_rng(3)
     sketch = neardup.Sketch()
     symbols = rng.integers(0, 1 << 62, (40, sketch.width), dtype=np.uint64)[rng.integers(0, 40, 300)]
@@ -70,8 +70,42 @@ def test_large_groups_lose_nothing(monkeypatch):
     symbols[worn] = rng.integers(0, 1 << 62, int(worn.sum()), dtype=np.uint64)
     brief, least = sketch.brief(symbols), sketch.least_agreement(0.5)
     h, items = np.zeros(300, np.uint64), np.arange(300)
+
+    def pairs():
+        found, hot = neardup._group_pairs(h, items, brief, least)
+        return sorted(tuple(sorted(p)) for part in found for p in part.tolist()), hot.tolist()
+
     monkeypatch.setattr(neardup, "FEW", 1000)
-    all_pairs = {tuple(sorted(p)) for part in neardup._group_pairs(h, items, brief, least, sketch) for p in part.tolist()}
+    single = pairs()
     monkeypatch.setattr(neardup, "FEW", 8)
-    divided = {tuple(sorted(p)) for part in neardup._group_pairs(h, items, brief, least, sketch) for p in part.tolist()}
-    assert divided <= all_pairs and len(divided) >= 0.995 * len(all_pairs)
+    assert pairs() == single and single[0] and not single[1]
+    monkeypatch.setattr(neardup, "HOT", 200)
+    assert pairs() == ([], items.tolist())
+
+
+def openings(n, seed=5):
+    """Texts with one opening of a third of their words, a tenth of them edited copies of another."""
+    r = random.Random(seed)
+    opening = " ".join(f"o{i}" for i in range(14))
+    bodies = [[f"b{r.randrange(20_000)}" for _ in range(28)] for _ in range(n)]
+    for i in range(0, n - 1, 10):
+        bodies[i + 1] = bodies[i][:]
+        bodies[i + 1][r.randrange(28)] = "ander"
+    return [(f"m{i:06}", f"{opening} {' '.join(b)}") for i, b in enumerate(bodies)]
+
+
+def test_a_crowd_under_one_key(spark, monkeypatch):
+    rows = openings(600)
+    df = spark.createDataFrame(rows, "id string, content string")
+    monkeypatch.setattr(neardup, "HOT", 50)
+    assert not neardup.candidates(df.select(df["content"].alias("text"))).where("hot").isEmpty()
+    found = [tuple(r) for r in neardup.similar_pairs(df, "id", "content").collect()]
+    assert len(found) == len(set(found)) == len(set(found) & brute(rows)) == len(brute(rows)) >= 60
+
+
+def test_exact_links(spark):
+    r = random.Random(6)
+    sets = [(i, sorted({r.choice([r.randrange(12), r.randrange(3000)]) for _ in range(r.randint(1, 14))})) for i in range(250)]
+    got = {(x.a, x.b) for x in neardup.exact_links(spark.createDataFrame(sets, "class bigint, shingles array<int>"), 0.5).collect()}
+    want = {(a, b) for (a, x), (b, y) in combinations(sets, 2) if 2 * len(set(x) & set(y)) >= len(set(x) | set(y))}
+    assert got == want and want
