@@ -75,24 +75,41 @@ def halve(sample: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarra
 class Graph:
     """Neighbour graph over the centroids, searched by a beam for a batch of vectors at once.
 
-    The beam starts from the best of up to ``HUBS`` centroids, an entry layer compared by one matrix product; where that
-    layer holds every centroid the search is exact.
+    A centroid is linked to its nearest ones and back from those it is near to, so every centroid can be reached. The beam
+    starts from an entry layer compared by one matrix product: the centroids that aren't the nearest of another of that
+    layer. Far from each other, centroids of binary vectors all look alike, so fewer entries find too little.
     """
 
-    DEGREE, FAR, HUBS, BEAM, ROUNDS, WIDTH = 14, 2, 1024, 24, 10, 2
+    DEGREE, BACK, ROOM, BEAM, ROUNDS, WIDTH = 16, 4, 12, 32, 3, 8
 
     def __init__(self, centroids: np.ndarray, rng: np.random.Generator):
         self.centroids, n = centroids, len(centroids)
         degree = min(self.DEGREE, n - 1)
         near = np.empty((n, degree), np.int64)
         columns = signs(centroids).T
-        for i in range(0, n, 1024):
+        for i in range(0, n, 1024) if degree else ():
             d = distances(centroids[i : i + 1024], columns)
             d[np.arange(len(d)), np.arange(i, i + len(d))] = BITS + 1
-            near[i : i + 1024] = np.argsort(d, 1)[:, :degree]
-        self.links = np.concatenate([near, rng.integers(0, n, (n, self.FAR))], 1)
-        self.hubs = np.sort(rng.choice(n, min(self.HUBS, n), replace=False))
-        self.hub_signs = signs(centroids[self.hubs]).T
+            part = np.argpartition(d, degree - 1, 1)[:, :degree]
+            near[i : i + 1024] = np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), 1), 1)
+        self.links = np.concatenate([near, self._back(near)], 1)
+        entry, covered = np.zeros(n, bool), np.zeros(n, bool)
+        for i in rng.permutation(n):
+            if not covered[i]:
+                entry[i] = covered[i] = covered[near[i, :1]] = True
+        self.entries = np.flatnonzero(entry)
+        self.entry_signs = signs(centroids[self.entries]).T
+
+    def _back(self, near: np.ndarray) -> np.ndarray:
+        """Up to ``ROOM`` centroids that each centroid is one of the nearest of; itself where there are fewer."""
+        n, back = near.shape[0], min(self.BACK, near.shape[1])
+        to, rank, source = near[:, :back].ravel(), np.tile(np.arange(back), n), np.repeat(np.arange(n), back)
+        order = np.lexsort((rank, to))
+        to, source = to[order], source[order]
+        seat = np.arange(len(to)) - np.searchsorted(to, to)
+        out = np.repeat(np.arange(n)[:, None], self.ROOM, 1)
+        out[to[seat < self.ROOM], seat[seat < self.ROOM]] = source[seat < self.ROOM]
+        return out
 
     def search(self, q: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of about the nearest ``m`` centroids of each vector, nearest first."""
@@ -108,12 +125,12 @@ class Graph:
         n, rows = len(q), np.arange(len(q))[:, None]
         beam = min(max(self.BEAM, m), len(self.centroids))
         seen = np.zeros((n, len(self.centroids)), bool)
-        d = distances(q, self.hub_signs).astype(np.int32)
-        order = np.argsort(d, 1)[:, :beam]
-        seen[:, self.hubs] = True
-        ids, dist = self.hubs[order], np.take_along_axis(d, order, 1)
+        d = distances(q, self.entry_signs).astype(np.int32)
+        order = np.argpartition(d, beam - 1, 1)[:, :beam] if beam < d.shape[1] else np.argsort(d, 1)
+        seen[:, self.entries] = True
+        ids, dist = self.entries[order], np.take_along_axis(d, order, 1)
         open_ = np.ones(ids.shape, bool)
-        for _ in range(self.ROUNDS if len(self.hubs) < len(self.centroids) else 0):
+        for _ in range(self.ROUNDS if len(self.entries) < len(self.centroids) else 0):
             best = np.argsort(np.where(open_, dist, 1 << 20), 1)[:, : self.WIDTH]
             if not np.take_along_axis(open_, best, 1).any():
                 break

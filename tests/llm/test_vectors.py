@@ -36,6 +36,23 @@ def test_recall(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
+def test_graph_over_thousands_of_lists(spark):
+    rows = made(7, 2000, 8)
+    graph = vectors.fit(frame(spark, rows), len(rows), list_size=5)
+    assert len(graph.centroids) >= 3000 and len(graph.entries) < len(graph.centroids)
+    x = np.frombuffer(b"".join(v for _, v in rows[:4000]), np.uint64).reshape(-1, 16)
+    ids, found = graph.search(x, 2)
+    exact = np.sort(vectors.distances(x, vectors.signs(graph.centroids).T), 1)[:, :2]
+    assert (found == exact).mean(0).min() > 0.95 and (np.bitwise_count(graph.centroids[ids] ^ x[:, None]).sum(2) == found).all()
+
+
+def test_every_centroid_can_be_reached():
+    rng = np.random.default_rng(2)
+    graph = vectors.Graph(rng.integers(0, 1 << 63, (500, 16), dtype=np.uint64), rng)
+    reached = set(graph.entries.tolist()) | set(graph.links[graph.entries].ravel().tolist())
+    assert reached == set(range(500)) and len(graph.entries) < 500
+
+
 def test_exact_with_one_list_and_copies(spark):
     rows = made(2, 6, 4)
     copies = [(f"c{i:03}", rows[0][1]) for i in range(40)]  # one vector many times
