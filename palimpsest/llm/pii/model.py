@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from multiprocessing import get_context
 from pathlib import Path
 
 import numpy as np
@@ -67,9 +68,12 @@ class Network:
         self.hidden = p["u0"].shape[0]
         # the input side of both directions is a row of a table, as there is nothing below the characters
         self.inputs = [(p["embed"] @ p[f"w{d}"] + p[f"b{d}"]).astype(np.float32) for d in (0, 1)]
+        # a sigmoid is a tanh of half its argument: with the gates halved one tanh serves all of a step
+        half = np.r_[np.full(3 * self.hidden, 0.5), np.ones(self.hidden)].astype(np.float32)
+        self.halved = [(table * half, np.ascontiguousarray(p[f"u{d}"] * half, np.float32)) for d, table in enumerate(self.inputs)]
 
     @classmethod
-    def fresh(cls, hidden: int = 28, embed: int = 20, seed: int = 3) -> Network:
+    def fresh(cls, hidden: int = 32, embed: int = 20, seed: int = 3) -> Network:
         rng = np.random.default_rng(seed)
         p = {"embed": rng.normal(0, 0.3, (VOCABULARY, embed)), "out": rng.normal(0, 0.2, (2 * hidden, LABELS)), "bias": np.zeros(LABELS), "trans": np.zeros((LABELS, LABELS))}
         for d in (0, 1):
@@ -107,9 +111,29 @@ class Network:
                 keep.append((s, last, before, gate, new, squashed))
         return out
 
+    def _states(self, codes: np.ndarray, d: int) -> np.ndarray:
+        """The same hidden states, without what training needs."""
+        b, t = codes.shape
+        n, (table, u) = self.hidden, self.halved[d]
+        c, out, z, more = np.zeros((b, n), np.float32), np.empty((t, b, n), np.float32), np.empty((b, 4 * n), np.float32), np.empty((b, 4 * n), np.float32)
+        columns = np.ascontiguousarray(codes.T)
+        h = np.zeros((b, n), np.float32)
+        for s in range(t) if d == 0 else range(t - 1, -1, -1):
+            np.take(table, columns[s], axis=0, out=z)
+            z += np.dot(h, u, out=more)
+            np.tanh(z, out=z)
+            gate = z[:, : 3 * n]
+            gate += 1
+            gate *= 0.5
+            c *= gate[:, n : 2 * n]
+            c += gate[:, :n] * z[:, 3 * n :]
+            h = np.tanh(c, out=out[s])
+            h *= gate[:, 2 * n :]
+        return out
+
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         """(batch, time, labels) scores."""
-        f, g = self._pass(codes, 0), self._pass(codes, 1)
+        f, g = self._states(codes, 0), self._states(codes, 1)
         n = self.hidden
         return (f @ self.p["out"][:n] + g @ self.p["out"][n:] + self.p["bias"]).transpose(1, 0, 2)
 
@@ -183,28 +207,38 @@ def _crf(e: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[float, np.nda
     return float((z - gold).sum()), de.astype(np.float32), dtrans.astype(np.float32)
 
 
-def train(codes: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 4e-3, seed: int = 5, say=print) -> Network:
+def _shard(task: tuple) -> tuple[float, dict[str, np.ndarray]]:
+    p, rows = task
+    return Network(p).gradients(_DATA[0][rows], _DATA[1][rows])
+
+
+_DATA: list[np.ndarray] = []
+
+
+def train(codes: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 6e-3, seed: int = 5, workers: int = 8, say=print) -> Network:
+    """Adam over shuffled batches; each batch is shared out to forked workers, whose gradients are averaged."""
     net, rng = Network.fresh(), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step, total = 0, epochs * (len(codes) // batch)
-    for epoch in range(epochs):
-        order, sums = rng.permutation(len(codes)), 0.0
-        for i in range(0, len(order) - batch + 1, batch):
-            rows = order[i : i + batch]
-            loss, g = net.gradients(codes[rows], labels[rows])
-            norm = sum(float((x**2).sum()) for x in g.values()) ** 0.5
-            step += 1
-            lr = rate * min(1, step / 50) * (1 - 0.95 * step / total)
-            for k, x in g.items():
-                x *= min(1, 5 / (norm + 1e-6))
-                m[k] = 0.9 * m[k] + 0.1 * x
-                v[k] = 0.99 * v[k] + 0.01 * x**2
-                net.p[k] -= (lr * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            net = Network(net.p)
-            sums += loss
-        say(f"epoch {epoch + 1}: loss {sums / (len(order) // batch):.3f}")
-    return net
+    _DATA[:] = [codes, labels]
+    with get_context("fork").Pool(workers) as pool:
+        for epoch in range(epochs):
+            order, sums = rng.permutation(len(codes)), 0.0
+            for i in range(0, len(order) - batch + 1, batch):
+                shards = pool.map(_shard, [(net.p, rows) for rows in np.array_split(order[i : i + batch], workers)], 1)
+                g = {k: sum(s[1][k] for s in shards) / workers for k in net.p}
+                norm = sum(float((x**2).sum()) for x in g.values()) ** 0.5
+                step += 1
+                lr = rate * min(1, step / 50) * (1 - 0.97 * step / total)
+                for k, x in g.items():
+                    x *= min(1, 5 / (norm + 1e-6))
+                    m[k] = 0.9 * m[k] + 0.1 * x
+                    v[k] = 0.99 * v[k] + 0.01 * x**2
+                    net.p[k] -= (lr * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                sums += sum(s[0] for s in shards) / workers
+            say(f"epoch {epoch + 1}: loss {sums / (len(order) // batch):.3f}", flush=True)
+    return Network(net.p)
 
 
 # --- decoding -------------------------------------------------------------------------------------------------------
@@ -254,6 +288,10 @@ def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:
 CENTRAL = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32) + 4
 
 
+#: Characters decoded as one path, what parts of a longer stretch share on each side, and cells decoded at a time (90 MB).
+PART, LAP, CELLS = 2048, 160, 1 << 21
+
+
 def decode(net: Network, codes: list[np.ndarray], batch: int = 2048) -> list[list[tuple[int, int, int]]]:
     """Items of each text: overlapping windows are scored, their scores are joined, and one path is found through each text."""
     if not codes:
@@ -283,16 +321,30 @@ def decode(net: Network, codes: list[np.ndarray], batch: int = 2048) -> list[lis
             weight[to] += w
     sums /= np.maximum(weight, 1)[:, None]
     trans, out = net.transitions(), [[] for _ in codes]
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    for b in range(0, len(order), 512):
-        rows = order[b : b + 512]
-        t = int(lengths[rows].max())
-        e = np.full((len(rows), t, LABELS), 0, np.float32)
+    # a long stretch is decoded in parts that overlap; an item belongs to the part its beginning lies in
+    parts = [(i, a, max(0, a - LAP), min(int(n), a + PART + LAP)) for i, n in enumerate(lengths) for a in range(0, int(n), PART)]
+    parts.sort(key=lambda p: p[3] - p[2])
+    at = 0
+    while at < len(parts):
+        end = at + 1
+        while end < len(parts) and (end + 1 - at) * (parts[end][3] - parts[end][2]) <= CELLS:
+            end += 1
+        some = parts[at:end]
+        e = np.full((len(some), some[-1][3] - some[-1][2], LABELS), 0, np.float32)
         e[:, :, 1:] = _NEVER
-        for k, i in enumerate(rows):
-            e[k, : lengths[i]] = sums[offset[i] : offset[i + 1]]
-        for k, labels in zip(rows, viterbi(e, trans)):
+        for k, (i, _, a, z) in enumerate(some):
+            e[k, : z - a] = sums[offset[i] + a : offset[i] + z]
+        for (i, core, a, _), labels in zip(some, viterbi(e, trans)):
             if labels.any():
-                out[k] = spans_of(labels)
-    return out
+                out[i] += [(s + a, z + a, kind) for s, z, kind in spans_of(labels) if core <= s + a < core + PART]
+        at = end
+    return [_apart(sorted(spans)) for spans in out]
+
+
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in order, of which none begins inside the one before."""
+    kept: list[tuple[int, int, int]] = []
+    for s in spans:
+        if not kept or s[0] >= kept[-1][1]:
+            kept.append(s)
+    return kept
