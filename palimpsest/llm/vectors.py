@@ -288,7 +288,7 @@ class _Close:
     none that are clearly closer; what passes is counted in full.
     """
 
-    PART, BLOCK = 7, 1 << 15
+    PART, BLOCK = 5, 1 << 15
 
     def __init__(self, radius: int):
         share = self.PART / WORDS
