@@ -288,11 +288,11 @@ def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:
 CENTRAL = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32) + 4
 
 
-#: Characters decoded as one path, what parts of a longer stretch share on each side, and cells decoded at a time (90 MB).
-PART, LAP, CELLS = 2048, 160, 1 << 21
+#: Characters decoded as one path, what parts of a longer stretch share on each side, and cells decoded at a time (12 MB, which a cache may hold).
+PART, LAP, CELLS = 2048, 160, 1 << 18
 
 
-def decode(net: Network, codes: list[np.ndarray], batch: int = 2048) -> list[list[tuple[int, int, int]]]:
+def decode(net: Network, codes: list[np.ndarray], batch: int = 768) -> list[list[tuple[int, int, int]]]:
     """Items of each text: overlapping windows are scored, their scores are joined, and one path is found through each text."""
     if not codes:
         return []
