@@ -11,6 +11,8 @@ from palimpsest.session import checkpoint
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node of the connected component of every node that has an edge.
 
+    Rounds grow with the logarithm of the longest chain; a graph that hasn't settled after ``max_rounds`` raises an error.
+
     Alternating large-star and small-star rounds; each node links to the least node it knows, so long chains shorten
     geometrically and a node of any degree is only ever aggregated, never collected. Null ends and self-loops are dropped.
     """
@@ -28,6 +30,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
         if tuple(total) == before:
             break
         before = tuple(total)
+    else:
+        raise ValueError(f"components not settled after {max_rounds} rounds")
     ends = state.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = state.select(F.col("v").alias("node")).distinct().join(state.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
     return ends.unionByName(roots.select("node", F.col("node").alias("component")))
@@ -83,9 +87,10 @@ def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, label): label propagation over two-way edges; a node takes the label of most weight around it, the least on ties."""
     labels = checkpoint(edges.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
-        votes = edges.join(labels.toDF("v", "label"), "v").groupBy("u", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("u").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b"))
-        labels = checkpoint(best.select(F.col("u").alias("node"), (-F.col("b.l")).alias("label")))
+        votes = edges.join(labels.toDF("v", "label"), "v").groupBy("u", "label").agg(F.sum(F.round("weight", 6).cast("decimal(18,6)")).alias("w"))  # sums that don't depend on their order
+        # of equal weights the least label: the greatest weight first, then the least label among its votes
+        top = votes.groupBy("u").agg(F.max("w").alias("w"))
+        labels = checkpoint(votes.join(top, ["u", "w"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("label")))
     return labels
 
 
