@@ -61,3 +61,95 @@ def domain(text: Column, keywords: dict[str, list[str]], default: str) -> Column
     for name, c in counts:
         out = out.when(c == best, name)
     return out
+
+
+# --- context windows ------------------------------------------------------------------------------------------------
+
+
+def keyword_relevance(query: str, text: Column, base: float = 0.1) -> Column:
+    """1 where the query stands in the text, else the share of its words that occur and 0.3, else ``base``; case doesn't matter.
+
+    An empty query says nothing: 0.5 for every text.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = sorted(set(query.lower().split()))
+    if not words:
+        return F.lit(0.5)
+    found = F.size(F.array_intersect(F.split(low, "[ \\t\\n\\r\\f]+"), F.array(*map(F.lit, words))))
+    return F.when(F.contains(low, F.lit(query.lower())), 1.0).when(found > 0, F.least(F.lit(1.0), found / len(words) + 0.3)).otherwise(base)
+
+
+def context_score(relevance: Column, hours: Column, importance: Column, tokens: Column, half_life_hours: float = 24.0) -> Column:
+    """Rank of a text for a context window: relevance, recency, importance and brevity, weighted as powers."""
+    recency = F.greatest(F.lit(0.1), F.pow(F.lit(2.0), -hours / half_life_hours))
+    brief = 1 / (1 + tokens / 1000)
+    return relevance * F.pow(recency, F.lit(0.5)) * F.pow(F.least(F.lit(1.0), importance), F.lit(0.7)) * F.pow(brief, F.lit(0.3))
+
+
+def complexity(text: Column) -> Column:
+    """How demanding a query looks, in 0..1: many words, words that ask for thought, words of doubt."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    many = F.size(F.filter(F.split(low, "[ \\t\\n\\r\\f]+"), lambda w: w != "")) > 20
+    # fixed values: words that tell
+    thought, doubt = ("analyze", "compare", "why", "how", "plan", "design", "evaluate"), ("maybe", "unsure", "unknown", "complex")
+    return F.round(F.when(many, 0.3).otherwise(0.0) + F.when(has(thought), 0.4).otherwise(0.0) + F.when(has(doubt), 0.2).otherwise(0.0), 6)
+
+
+def _size(text: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.length(text) / 4).cast("int"))
+
+
+def grouped_pieces(pieces: Column, joint: str, most: int, overlap: int = 0) -> Column:
+    """Neighbouring pieces joined while their token estimate stays within ``most``; blank pieces are dropped.
+
+    With ``overlap``, so many last characters of the open chunk aren't counted. A piece that is too large stands alone.
+    """
+    blank = F.lit("")
+    start = F.struct(F.array().cast("array<string>").alias("done"), blank.alias("open"))
+
+    def step(s: Column, piece: Column) -> Column:
+        whole = F.when(s["open"] == "", piece).otherwise(F.concat(s["open"], F.lit(joint), piece))
+        spare = F.when(s["open"] == "", 0).otherwise(_size(F.right(s["open"], F.lit(overlap)))) if overlap else F.lit(0)
+        size = F.when(s["open"] == "", _size(piece)).otherwise(_size(s["open"]) + _size(piece) - spare) if overlap else _size(whole)
+        fits = size <= most
+        done = F.when(fits | (s["open"] == ""), s["done"]).otherwise(F.array_append(s["done"], s["open"]))
+        return F.struct(done.alias("done"), F.when(fits, whole).otherwise(piece).alias("open"))
+
+    kept = F.filter(F.coalesce(pieces, F.array().cast("array<string>")), lambda p: F.trim(p) != "")
+    return F.aggregate(kept, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+
+
+def paragraph_chunks(text: Column, most: int = 512, overlap: int = 64) -> Column:
+    """Paragraphs, parted by blank lines, joined to chunks of about ``most`` tokens; none for null and blank texts."""
+    return grouped_pieces(F.split(F.trim(text), r"\n\n+"), "\n\n", most, overlap)
+
+
+def sentence_chunks(text: Column, most: int = 512) -> Column:
+    """Sentences, parted after ``.``, ``!`` or ``?``, joined to chunks of at most ``most`` tokens where they aren't larger."""
+    return grouped_pieces(F.split(F.trim(text), r"(?<=[.!?])\s+"), " ", most)
+
+
+def token_chunks(text: Column, most: int = 512, overlap: int = 64) -> Column:
+    """Windows of about ``most`` tokens of four characters that end at a space of their second half, if it has one.
+
+    Neighbours share about ``overlap`` tokens. Null and blank texts have none.
+    """
+    wide, lap = most * 4, overlap * 4
+    if lap * 2 > wide:
+        raise ValueError("overlap must be at most half of a chunk")
+    n = F.length(F.coalesce(text, F.lit("")))
+    steps = F.sequence(F.lit(1), F.ceil(n / (wide / 2 - lap if wide / 2 > lap else 1)).cast("int") + 1)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("at"), F.lit(False).alias("over"))
+
+    def step(s: Column, _: Column) -> Column:
+        cut = F.substring(text, s["at"] + 1, F.lit(wide))
+        space = F.length(cut) - F.locate(" ", F.reverse(cut)) + 1  # characters up to and with the last space
+        inside = (s["at"] + wide < n) & (F.locate(" ", F.reverse(cut)) > 0) & (space > wide / 2)
+        size = F.when(inside, space).otherwise(F.lit(wide)).cast("int")
+        piece = F.trim(F.substring(text, s["at"] + 1, size))
+        done = F.when(s["over"] | (piece == ""), s["done"]).otherwise(F.array_append(s["done"], piece))
+        return F.struct(done.alias("done"), (s["at"] + size - lap).alias("at"), (s["over"] | (s["at"] + size >= n)).alias("over"))
+
+    made = F.aggregate(steps, start, step, lambda s: s["done"])
+    return F.when(n > 0, made).otherwise(F.array().cast("array<string>"))

@@ -38,10 +38,16 @@ def quality(relevance: Column, completeness: Column, freshness: Column, actionab
 
 
 def posterior(judged: DataFrame, key: str, success: str, strength: str, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
-    """(key, alpha, beta, mean, sd, n): Beta posteriors after weighted successes and failures."""
+    """(key, alpha, beta, mean, sd, n): Beta posteriors after weighted successes and failures.
+
+    Weights are summed to six decimals exactly, so the sums don't depend on the order of rows.
+    """
+    weight = F.col(strength).cast("decimal(18,6)")
+    total = lambda hit: F.coalesce(F.sum(F.when(hit, weight)), F.lit(0)).cast("double")
+    hit = F.coalesce(F.col(success), F.lit(False))
     g = judged.groupBy(key).agg(
-        (F.lit(alpha) + F.sum(F.when(F.col(success), F.col(strength)).otherwise(0.0))).alias("alpha"),
-        (F.lit(beta) + F.sum(F.when(F.col(success), 0.0).otherwise(F.col(strength)))).alias("beta"),
+        (F.lit(alpha) + total(hit)).alias("alpha"),
+        (F.lit(beta) + total(~hit)).alias("beta"),
         F.count(F.lit(1)).alias("n"),
     )
     return with_moments(g)
