@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,25 @@ def chunks(text: Column, size: int = 500, step: int = 450) -> Column:
     return F.when(n > 0, made).otherwise(F.array().cast("array<struct<no:int,start:int,text:string>>"))
 
 
+def glob_pattern(pattern: str) -> str:
+    """The regular expression of a file-name pattern: ``*``, ``?`` and ``[...]``, ``[!...]``; all else stands for itself."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + 2) if c == "[" else -1
+        if end > 0:
+            inside = pattern[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", end
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+        i += 1
+    return f"(?s)^{out}$"
+
+
+def glob(text: Column, pattern: str) -> Column:
+    return text.rlike(glob_pattern(pattern))
+
+
 def checksum(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *parts), 256)
 

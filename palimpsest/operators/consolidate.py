@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import tokens
 from palimpsest.operators.graph import connected_components
+from palimpsest.operators.replay import numbered
 
 
 def merge_clusters(nodes: DataFrame, cluster: str, strength: str = "ltp", accesses: str = "accesses", key: str = "id") -> DataFrame:
@@ -44,11 +45,19 @@ def busiest_hour(events: DataFrame, key: str, at: str) -> DataFrame:
     return best.select(key, (-F.col("b.h")).alias("hour"), F.col("b.n").alias("n"))
 
 
-def anomalies(metrics: DataFrame, key: str, at: str, value: str, last: int = 50, z: float = 3.0) -> DataFrame:
-    """Rows that lie ``z`` sample deviations off the mean of the ``last`` rows before them in their series."""
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(-last, -1)
-    marked = metrics.withColumn("mean", F.avg(value).over(w)).withColumn("sd", F.stddev_samp(value).over(w))
-    return marked.where((F.col("sd") > 0) & (F.abs(F.col(value) - F.col("mean")) > z * F.col("sd")))
+def anomalies(metrics: DataFrame, key: str, order: list[str], value: str, last: int = 50, z: float = 3.0, cell: int = 100_000) -> DataFrame:
+    """Rows that lie ``z`` sample deviations off the mean of the ``last`` rows before them in their series.
+
+    ``order`` must be total within a series. Rows are numbered over ranges and cut into cells of ``cell``, each with the
+    ``last`` rows before it, so a series of any length is spread over tasks.
+    """
+    laid = numbered(metrics, [key, *order], "_n")
+    own = F.floor(F.col("_n") / cell)
+    cells = F.when(F.pmod("_n", F.lit(cell)) >= cell - last, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = laid.withColumn("_own", own).withColumn("_cell", F.explode(cells))
+    w = Window.partitionBy(key, "_cell").orderBy("_n").rowsBetween(-last, -1)
+    marked = cut.withColumn("mean", F.avg(value).over(w)).withColumn("sd", F.stddev_samp(value).over(w)).where("_own = _cell")
+    return marked.where((F.col("sd") > 0) & (F.abs(F.col(value) - F.col("mean")) > z * F.col("sd"))).drop("_n", "_own", "_cell")
 
 
 def z_scores(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -33,35 +33,44 @@ def dequantise(q: Column, low: Column, high: Column) -> Column:
     return F.transform(q, lambda x: low + x / 255.0 * (high - low))
 
 
-def nearest_in_blocks(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
+def nearest_in_blocks(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, query_rows: int = 2_000, base_rows: int = 8_000) -> DataFrame:
     """(query, key, similarity, rank): the ``k`` rows of greatest cosine similarity to each query, exactly.
 
-    Queries and base are dealt to blocks and every pair of blocks is one matrix product; a task holds two blocks. Zero and
-    null vectors match nothing; a row isn't its own neighbour; equal similarities are ordered by key.
+    Queries and base are dealt to blocks of about so many rows, and every pair of blocks is one matrix product in a task of
+    its own, so a task's memory doesn't grow with the tables. Zero and null vectors match
+    nothing; a row isn't its own neighbour; equal similarities are ordered by key.
     """
     kind = base.schema[key].dataType.simpleString()
     usable = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(key, vector)
-    deal = F.pmod(F.xxhash64(key), F.lit(blocks))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = usable(queries).withColumn("qb", deal.cast("int")).withColumn("bb", everywhere)
-    b = usable(base).withColumn("bb", deal.cast("int")).withColumn("qb", everywhere)
+    q, b = usable(queries), usable(base)
+    nq, nb = (max(1, -(-df.count() // rows)) for df, rows in ((q, query_rows), (b, base_rows)))
+    deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", deal(nq)).withColumn("bb", everywhere(nb))
+    b = b.withColumn("bb", deal(nb)).withColumn("qb", everywhere(nq))
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"query": x[key][:0], key: y[key][:0], "similarity": np.zeros(0)})
-        if len(x) and len(y):
-            a, c = (np.array(p[vector].tolist(), np.float64) for p in (x, y))
-            a, c = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (a, c))
-            s = a @ c.T
-            qk, bk = x[key].to_numpy(), y[key].to_numpy()
-            s[qk[:, None] == bk[None, :]] = -np.inf
-            s[~a.any(1)] = -np.inf
+        if not len(x) or not len(y):
+            return out
+        y = y.sort_values(key, kind="stable")  # ties go to the smaller key
+        a, c = (np.array(p[vector].tolist(), np.float64) for p in (x, y))
+        a, c = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (a, c))
+        qk, bk = x[key].to_numpy(), y[key].to_numpy()
+        for i in range(0, len(a), 512):
+            s = a[i : i + 512] @ c.T
+            s[qk[i : i + 512, None] == bk[None, :]] = -np.inf
+            s[~a[i : i + 512].any(1)] = -np.inf
             s[:, ~c.any(1)] = -np.inf
-            parts = []
-            for i in range(len(s)):
-                edge = np.partition(s[i], -min(k, len(bk)))[-min(k, len(bk))]
-                at = np.flatnonzero((s[i] >= edge) & (s[i] > -np.inf))
-                parts.append(pd.DataFrame({"query": qk[i], key: bk[at], "similarity": s[i][at]}).sort_values(["similarity", key], ascending=[False, True]).head(k))
-            out = pd.concat(parts) if parts else out
+            n = min(k, s.shape[1])
+            edge = -np.partition(-s, n - 1, 1)[:, n - 1]
+            row, col = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+            order = np.lexsort((col, -s[row, col], row))
+            row, col = row[order], col[order]
+            first = np.searchsorted(row, row)
+            best = np.arange(len(row)) - first < k
+            row, col = row[best], col[best]
+            out = pd.concat([out, pd.DataFrame({"query": qk[i + row], key: bk[col], "similarity": s[row, col]})])
         return out
 
     pairs = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(product, f"query {kind}, {key} {kind}, similarity double")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import ASCII_WORD, chunks, tokens
+from palimpsest.operators.replay import numbered
 
 
 def occurrences(words: str, term: str) -> Column:
@@ -33,7 +35,8 @@ def bm25(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text",
     words = sorted(set(re.findall(ASCII_WORD, query.lower())))
     # exploding an array of one keeps the optimizer from splitting the text anew for every word
     doc = corpus.select(key, F.explode(F.array(tokens(F.col(text)))).alias("w")).withColumn("dl", F.size("w"))
-    counted = doc.select(key, "dl", *[occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(words)])
+    # a few numbers a document, kept so that texts are split once for the statistics and the scores
+    counted = doc.select(key, "dl", *[occurrences("w", t).alias(f"tf{i}") for i, t in enumerate(words)]).persist(StorageLevel.MEMORY_AND_DISK)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -45,8 +48,10 @@ def bm25(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text",
 
 
 def ranked(scores: DataFrame, key: str, score: str = "score", limit: int | None = None) -> DataFrame:
-    """(key, score, rank) of the best ``limit`` by score, ties by key."""
-    top = scores.orderBy(F.desc(score), key).limit(limit) if limit else scores
+    """(key, score, rank) of the best ``limit`` by score, ties by key; without a limit, all, ranked over ranges by all tasks."""
+    if limit is None:
+        return numbered(scores.withColumn("_less", -F.col(score)), ["_less", key], "rank").drop("_less")
+    top = scores.orderBy(F.desc(score), key).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
 
 
@@ -73,12 +78,21 @@ def alpha_blend(dense: DataFrame, sparse: DataFrame, key: str, alpha: float = 0.
 
 
 def chunk_scores(corpus: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, no, start, score): saturated term counts of 500-character chunks; repeated query words count again."""
+    """(key, no, start, score): saturated term counts of 500-character chunks; repeated query words count again.
+
+    Chunks without a query word score 0.
+    """
     words = re.findall(ASCII_WORD, query.lower())
-    cut = F.transform(chunks(F.col(text)), lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), tokens(c["text"]).alias("w")))
-    parts = corpus.select(key, F.explode(cut).alias("c")).select(key, "c.no", "c.start", "c.w")
-    score, n = F.lit(0.0), F.size("w")
+    wanted = F.array(*[F.lit(w) for w in sorted(set(words))]).cast("array<string>")
+
+    def counted(c: Column) -> Column:
+        w = tokens(c["text"])
+        return F.struct(c["no"].alias("no"), c["start"].alias("start"), F.size(w).alias("n"), F.filter(w, lambda x: F.array_contains(wanted, x)).alias("hits"))
+
+    # the words of a chunk are reduced to its hits before chunks become rows
+    parts = corpus.select(key, F.explode(F.transform(chunks(F.col(text)), counted)).alias("c")).select(key, "c.no", "c.start", "c.n", "c.hits")
+    score, n = F.lit(0.0), F.col("n")
     for t in words:
-        tf = occurrences("w", t)
+        tf = occurrences("hits", t)
         score = score + tf * 2.5 / (tf + 1.5 * (n / 100))
     return parts.select(key, "no", "start", F.when(n > 0, score).otherwise(0.0).alias("score"))

@@ -41,11 +41,17 @@ def signals(hits: DataFrame, use: DataFrame, now: datetime, weights: tuple[float
 
 
 def neighbours_in_time(memories: DataFrame, hits: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
-    """(id, near_id, step): the memories just before and after each hit in its scope."""
+    """(id, near_id, step): the memories just before and after each hit in its scope.
+
+    Only scopes with a hit are sorted, and of them only ids and times.
+    """
+    hit = hits.select("id")
+    scopes = memories.join(hit, "id", "left_semi").select(F.col("scope_key").alias("_scope")).distinct()
+    memories = memories.select("id", "scope_key", "created_at").join(scopes, F.col("scope_key").eqNullSafe(F.col("_scope")), "left_semi")
     w = Window.partitionBy("scope_key").orderBy("created_at", "id")
     steps = [F.struct(F.lit(-k).alias("step"), F.lag("id", k).over(w).alias("near_id")) for k in range(1, before + 1)]
     steps += [F.struct(F.lit(k).alias("step"), F.lead("id", k).over(w).alias("near_id")) for k in range(1, after + 1)]
-    chained = memories.select("id", F.array(*steps).alias("steps")).join(hits.select("id"), "id", "left_semi")
+    chained = memories.select("id", F.array(*steps).alias("steps")).join(hit, "id", "left_semi")
     return chained.select("id", F.explode("steps").alias("s")).select("id", "s.near_id", "s.step").where("near_id is not null")
 
 

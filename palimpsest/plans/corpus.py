@@ -31,16 +31,14 @@ def _bm25(s, d):
 
 def _coverage(s, d):
     q = F.array(*[F.lit(w) for w in sorted(set(QUERY.split()))])
-    return memories(s, d).select("id", F.round(tx.coverage(q, tx.tokens(F.col("content"))), 6).alias("coverage"), F.round(tx.jaccard(q, tx.tokens(F.col("content"))), 6).alias("jaccard"))
-
-
-def _coverage_list(s, d):
-    return lexical.ranked(_coverage(s, d).withColumnRenamed("coverage", "score").where("score > 0"), "id", "score", 200)
+    # two numbers a memory, kept because two rankings read them
+    return memories(s, d).select("id", F.round(tx.coverage(q, tx.tokens(F.col("content"))), 6).alias("coverage"), F.round(tx.jaccard(q, tx.tokens(F.col("content"))), 6).alias("jaccard")).persist()
 
 
 def _fused(s, d):
-    jaccard = lexical.ranked(_coverage(s, d).withColumnRenamed("jaccard", "score").where("score > 0"), "id", "score", 200)
-    return _rounded(lexical.reciprocal_rank_fusion([_coverage_list(s, d), jaccard], "id"), "rrf")
+    c = _coverage(s, d)
+    lists = [lexical.ranked(c.withColumnRenamed(name, "score").where("score > 0"), "id", "score", 200) for name in ("coverage", "jaccard")]
+    return _rounded(lexical.reciprocal_rank_fusion(lists, "id"), "rrf")
 
 
 def _fused_whole(s, d):

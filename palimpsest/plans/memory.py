@@ -175,7 +175,7 @@ QUERIES = {
     "memory_lineage": _lineage,
     "memory_search_scopes": lambda s, d: lc.search_scopes(table(s, d, "memories")),
     "memory_import_overwrite": _import,
-    "memory_event_latest": lambda s, d: lc.latest(table(s, d, "memory_events").where("memory_id is not null"), "memory_id", [F.desc("occurred_at"), F.desc("created_at"), F.desc("id")]).select("memory_id", "id", F.lower(F.trim("event_type")).alias("kind")),
+    "memory_event_latest": lambda s, d: lc.latest(table(s, d, "memory_events").where("memory_id is not null").select("memory_id", "id", "event_type", "occurred_at", "created_at"), "memory_id", ["occurred_at", "created_at", "id"]).select("memory_id", "id", F.lower(F.trim("event_type")).alias("kind")),
     "memory_event_kinds": lambda s, d: table(s, d, "memory_events").groupBy(F.lower(F.trim("event_type")).alias("kind"), "tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("memory_id").alias("memories")),
     "memory_history": lambda s, d: sequence.linked(_changes(s, d), "memory_id", ["occurred_at", "arrival", "id"], "id").select("memory_id", "id", "kind", "previous_id", "next_id"),
     "memory_status_balance": lambda s, d: table(s, d, "memories").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.col("status").isin("contradicted", "forgotten")) / F.count(F.lit(1)), 6).alias("negative_share")),

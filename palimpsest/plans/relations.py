@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as tx
 from palimpsest.operators import graph, lambda_view, sequence
 from palimpsest.session import table
 
@@ -104,7 +105,7 @@ QUERIES = {
     "events_heatmap": lambda s, d: sequence.heatmap(_events(s, d), "ts").select(F.col("weekday").cast("bigint").alias("weekday"), F.col("hour").cast("bigint").alias("hour"), "n"),
     "events_as_of": _as_of,
     "events_anchored_clusters": _anchored,
-    "events_glob": lambda s, d: _events(s, d).where(F.col("event_type").rlike("^.*[ck]$")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
+    "events_glob": lambda s, d: _events(s, d).where(tx.glob(F.col("event_type"), "*[ck]")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
     "events_running": lambda s, d: _events(s, d).select("event_id", F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)), 4).alias("last_three")),
     "memory_greedy_fill": _fill,
     "rel_pricing_summary": _q1,

@@ -28,8 +28,8 @@ def _z(s, d):
 
 
 def _anomalies(s, d):
-    e = table(s, d, "events").select("event_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
-    return co.anomalies(e, "event_type", "at", "value", 50, 2.5).select("event_id")
+    e = table(s, d, "events").select("event_id", "event_type", "value", "ts")
+    return co.anomalies(e, "event_type", ["ts", "event_id"], "value", 50, 2.5).select("event_id")
 
 
 def _schema(s, d):

@@ -43,9 +43,16 @@ def export(records: DataFrame, path: str, kind: str = "parquet", where: Column |
     writer.parquet(path) if kind == "parquet" else writer.json(path)
 
 
-def append_days(records: DataFrame, path: str, at: str) -> None:
-    """Appends records to an archive of compressed JSON lines by UTC day."""
-    records.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
+def append_days(records: DataFrame, path: str, at: str, batch: str | None = None) -> None:
+    """Appends records to an archive of compressed JSON lines by UTC day.
+
+    With ``batch`` the records get a folder of that name, which a retry replaces instead of appending twice.
+    """
+    dated = records.withColumn("day", F.to_date(at))
+    if batch is None:
+        dated.write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
+    else:
+        dated.write.mode("overwrite").partitionBy("day").option("compression", "gzip").json(f"{path.rstrip('/')}/batch={batch}")
 
 
 class Snapshots:
@@ -61,6 +68,8 @@ class Snapshots:
     def catalog(self) -> DataFrame:
         fs, p = self._fs(f"{self.path}/catalog")
         schema = "version int, created_at timestamp_ntz, n bigint, checksum decimal(38,0), parent int"
+        if not fs.exists(p) and fs.exists(self._fs(f"{self.path}/catalog.old")[1]):
+            fs.rename(self._fs(f"{self.path}/catalog.old")[1], p)
         return self.spark.read.schema(schema).parquet(f"{self.path}/catalog") if fs.exists(p) else self.spark.createDataFrame([], schema)
 
     @staticmethod
@@ -100,8 +109,12 @@ class Snapshots:
         kept = self.catalog().where(~F.col("version").isin(gone)).collect()
         self.spark.createDataFrame(kept, self.catalog().schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/catalog.new")
         fs, p = self._fs(f"{self.path}/catalog")
-        fs.delete(p, True)
-        fs.rename(self._fs(f"{self.path}/catalog.new")[1], p)
+        old, new = (self._fs(f"{self.path}/catalog.{end}")[1] for end in ("old", "new"))
+        fs.delete(old, True)
+        # a crash between the renames leaves catalog.old, from which the catalog is read
+        fs.rename(p, old)
+        fs.rename(new, p)
+        fs.delete(old, True)
         for v in gone:
             fs.delete(self._fs(f"{self.path}/version={v}")[1], True)
         return gone

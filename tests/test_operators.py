@@ -141,7 +141,7 @@ def test_quantised_vectors_and_medoids(spark):
         away = {m: np.linalg.norm(at[r.id] - at[m]) for m in chosen}
         assert abs(r.distance - min(away.values())) < 1e-9 and abs(away[r.medoid] - r.distance) < 1e-9
     assert dense.k_medoids(df.limit(0), "id", "v", 4).count() == 0
-    exact = {(r.query, r.id) for r in dense.nearest_in_blocks(df.where("id < 9"), df, "id", "v", 3, blocks=3).collect()}
+    exact = {(r.query, r.id) for r in dense.nearest_in_blocks(df.where("id < 9"), df, "id", "v", 3, query_rows=4, base_rows=50).collect()}
     x = np.array([r[1] for r in rows])
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = x[:9] @ x.T
