@@ -102,7 +102,7 @@ def pattern_matches(events: DataFrame, patterns: DataFrame, kind: str) -> DataFr
 def query_parts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, no, part): a query and its parts between conjunctions and question marks, each once."""
     whole = F.trim(F.col(text))
-    parts = F.filter(F.transform(F.split(F.lower(whole), r"\s+(?:and|or|but|then)\s+|[?;]\s*"), F.trim), lambda x: F.length(x) >= 3)
+    parts = F.filter(F.transform(F.split(F.lower(whole), r"\s+(?:and|or|but|then)\s+|[?;]\s*"), lambda x: F.trim(x)), lambda x: F.length(x) >= 3)
     return texts.select(key, F.posexplode(F.array_distinct(F.concat(F.array(F.lower(whole)), parts))).alias("no", "part")).where("part is not null")
 
 

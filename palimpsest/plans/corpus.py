@@ -217,4 +217,10 @@ WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_min(embedding)::DOUBLE
 SELECT vec_id, CAST(list_sum(list_transform(x, lambda v: CASE WHEN hi > lo THEN floor(greatest(0.0, least(1.0, (v - lo) / (hi - lo))) * 255) ELSE 0 END)) AS BIGINT) AS total, true AS within_step FROM e""",
     "dense_label_means": "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT label, CAST(i AS INT) AS i, round(avg(x), 5) AS mean, count(*) AS n FROM e GROUP BY 1, 2",
     "dense_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))), 5) AS norm FROM embeddings",
+    "vector_bundles": """
+WITH v AS (SELECT DISTINCT key, vector FROM vectors WHERE key IS NOT NULL AND dimension = 1024 AND octet_length(vector) = 128),
+b AS (SELECT substring(hex(vector), 1, 1) AS region, i, get_bit(vector::BIT, i::INTEGER) AS bit FROM v, unnest(range(0, 1024)) AS u(i)),
+c AS (SELECT region, i, count(*) AS members, sum(bit) AS ones FROM b GROUP BY 1, 2)
+SELECT region, max(members) AS members, count(*) FILTER (WHERE ones * 2 > members) AS ones FROM c GROUP BY 1
+""",
 }

@@ -157,4 +157,18 @@ SQL = {
     "rel_order_gaps": "SELECT o_orderkey, date_diff('day', lag(o_orderdate) OVER w, o_orderdate) AS days FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
     "rel_top_parts_by_region": "WITH q AS (SELECT s_nationkey, l_partkey, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY qty DESC, l_partkey) AS pos FROM q QUALIFY pos <= 3",
     "rel_status_pivot": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1",
+    "memory_greedy_fill": """
+WITH RECURSIVE o AS (SELECT scope_key, id, length(coalesce(content, '')) AS size, row_number() OVER (PARTITION BY scope_key ORDER BY created_at, id) AS r FROM memories),
+g(scope_key, id, r, kept, used) AS (
+  SELECT scope_key, id, r, size <= 4000, CASE WHEN size <= 4000 THEN size ELSE 0 END FROM o WHERE r = 1
+  UNION ALL SELECT o.scope_key, o.id, o.r, g.used + o.size <= 4000, CASE WHEN g.used + o.size <= 4000 THEN g.used + o.size ELSE g.used END FROM g JOIN o ON o.scope_key IS NOT DISTINCT FROM g.scope_key AND o.r = g.r + 1)
+SELECT scope_key, id, kept, used::BIGINT AS used FROM g
+""",
+    "events_anchored_clusters": """
+WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM (SELECT DISTINCT user_id, ts FROM events WHERE ts IS NOT NULL)),
+c(user_id, ts, r, first_at) AS (
+  SELECT user_id, ts, r, ts FROM o WHERE r = 1
+  UNION ALL SELECT o.user_id, o.ts, o.r, CASE WHEN o.ts - c.first_at > INTERVAL 24 HOUR THEN o.ts ELSE c.first_at END FROM c JOIN o ON o.user_id IS NOT DISTINCT FROM c.user_id AND o.r = c.r + 1)
+SELECT user_id, first_at, count(*) AS n FROM c GROUP BY 1, 2
+""",
 }

@@ -59,4 +59,10 @@ log AS (SELECT memory_id, count(*) AS n, min(occurred_at) AS first_at, max(occur
 src AS (SELECT memory_id, count(DISTINCT source_memory_id) AS n FROM memory_evidence GROUP BY 1)
 SELECT t.id, m.status, m.kind, coalesce(log.n, 0) AS n_changes, first_at, last_at, coalesce(src.n, 0) AS sources
 FROM top t LEFT JOIN memories m USING (id) LEFT JOIN log ON log.memory_id = t.id LEFT JOIN src ON src.memory_id = t.id""",
+    "recall_context": f"""
+WITH RECURSIVE {_R},
+o AS (SELECT t.id, greatest(1, ceil(length(coalesce(content, '')) / 4))::BIGINT AS size, row_number() OVER (ORDER BY rank, t.id) AS r FROM top t JOIN memories USING (id)),
+g(id, r, kept, used) AS (SELECT id, r, size <= 2000, CASE WHEN size <= 2000 THEN size ELSE 0 END FROM o WHERE r = 1
+  UNION ALL SELECT o.id, o.r, g.used + size <= 2000, CASE WHEN g.used + size <= 2000 THEN g.used + size ELSE g.used END FROM g JOIN o ON o.r = g.r + 1)
+SELECT id, kept, used FROM g""",
 }

@@ -121,4 +121,11 @@ SELECT id, len(errors) AS n_errors, coalesce(array_to_string(errors, ','), '') A
     "upkeep_goal_progress": "WITH c AS (SELECT n_regionkey AS k, avg(n_nationkey / 25::DOUBLE) AS rolled, count(*) AS n FROM nation GROUP BY 1) SELECT 'n' || n_nationkey AS goal, round(n_nationkey / 25::DOUBLE, 6) AS rolled, CAST(0 AS BIGINT) AS children FROM nation UNION ALL SELECT 'r' || r_regionkey, round(coalesce(rolled, 0.0), 6), coalesce(n, 0) FROM region LEFT JOIN c ON k = r_regionkey",
     "upkeep_access_levels": "SELECT agent_id AS agent, kind AS item, CAST(max(CASE WHEN confidence > 0.8 THEN 3 WHEN confidence > 0.5 THEN 2 ELSE 1 END) AS BIGINT) AS level FROM memories WHERE valid_to IS NULL OR valid_to > TIMESTAMP '2018-03-01' GROUP BY 1, 2",
     "upkeep_expired": "SELECT scope_key, id FROM memories WHERE created_at >= TIMESTAMP '2018-03-01' - INTERVAL 1080 HOUR QUALIFY row_number() OVER (PARTITION BY scope_key ORDER BY created_at DESC, id) <= 10",
+    "upkeep_query_parts": """
+WITH t AS (SELECT doc_id, lower(trim(title)) AS whole FROM documents WHERE title IS NOT NULL),
+p AS (SELECT doc_id, 0 AS pos, whole AS part FROM t
+  UNION ALL SELECT doc_id, i, trim(x[i]) FROM (SELECT doc_id, regexp_split_to_array(whole, '[ \\t\\n\\r\\f\\v]+(?:and|or|but|then)[ \\t\\n\\r\\f\\v]+|[?;][ \\t\\n\\r\\f\\v]*') AS x FROM t), unnest(range(1, len(x) + 1)) AS u(i) WHERE length(trim(x[i])) >= 3),
+f AS (SELECT doc_id, part, min(pos) AS pos FROM p GROUP BY 1, 2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS no, part FROM f
+""",
 }
