@@ -223,6 +223,22 @@ def _replay_busy(hot: DataFrame, rows: int, stretch: int) -> DataFrame:
     return folded.where("end.alive").select("memory_id", "end.status", "end.content_event_id", "end.last_event_id")
 
 
+def rebuilt_memories(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(memory_id, status, content, kind, content_at, updated_at): the projection of memories, rebuilt from its log.
+
+    Content and kind are those of the change that supplied the content, null where none did; ``updated_at`` is the time of
+    the last change with effect. Only changes that matter to a memory that exists are looked up again, by joins.
+    """
+    now = current_memories(log, stretch)
+    payload = F.try_parse_json("payload_json")
+    wanted = now.select(F.col("content_event_id").alias("id")).union(now.select("last_event_id")).where("id is not null").distinct()
+    rows = log.where(F.col("created_at").isNotNull()).select("id", "created_at", "occurred_at", F.try_variant_get(payload, "$.content", "string").alias("content"), F.try_variant_get(payload, "$.kind", "string").alias("kind"))
+    rows = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("created_at", "occurred_at", "content", "kind")).alias("r"))
+    supplied = rows.select(F.col("id").alias("content_event_id"), "r.content", "r.kind", F.col("r.occurred_at").alias("content_at"))
+    last = rows.select(F.col("id").alias("last_event_id"), F.col("r.occurred_at").alias("updated_at"))
+    return now.join(supplied, "content_event_id", "left").join(last, "last_event_id", "left").select("memory_id", "status", "content", "kind", "content_at", "updated_at")
+
+
 def current_memories(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """The memories existing at the committed end of the log, from its deliveries: :func:`committed_memory_changes`, replayed."""
     return replay(committed_memory_changes(log), stretch)

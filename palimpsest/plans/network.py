@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as sc
 from palimpsest.functions import text as tx
-from palimpsest.operators import erasure, graph, network
+from palimpsest.operators import erasure, graph, network, replay
+from palimpsest.plans import problems
 from palimpsest.plans.memory import _N, NOW, nodes
 from palimpsest.session import table
 
@@ -109,6 +110,8 @@ QUERIES = {
     "network_decayed": lambda s, d: graph.decayed(table(s, d, "memory_evidence").distinct().select("memory_id", "source_memory_id", "event_id", "relation", "created_at", F.lit(1.0).alias("weight")), datetime(2018, 2, 1), "created_at", 10.0, 0.3).select("memory_id", "source_memory_id", "event_id", "relation", "created_at", F.round("weight", 8).alias("weight")),
     "network_graphml": lambda s, d: network.graphml_lines(_labels(s, d), _edges(s, d).where("u < v")),
     "network_gexf": lambda s, d: network.gexf_lines(_labels(s, d), _edges(s, d).where("u < v")),
+    "memory_rebuilt": lambda s, d: replay.rebuilt_memories(table(s, d, "memory_events")),
+    "memory_supersessions": lambda s, d: erasure.supersession_links(table(s, d, "memory_events")),
     "erasure_memories": lambda s, d: _erasure(s, d).memories.select("id"),
     "erasure_events": lambda s, d: _erasure(s, d).events.select("id", "created_at"),
     "erasure_evidence": lambda s, d: _erasure(s, d).evidence.select("memory_id", "source_memory_id", "event_id", "relation"),
@@ -217,6 +220,17 @@ UNION ALL SELECT 'edge', '<edge source="' || {_xml("u")} || '" target="' || {_xm
 WITH {_E}, n AS (SELECT DISTINCT u AS node FROM e)
 SELECT 'node' AS part, '<node id="' || {_xml("node")} || '" label="' || {_xml("substring(content, 1, 60)")} || '"/>' AS line FROM n LEFT JOIN memories ON id = node
 UNION ALL SELECT 'edge', '<edge id="' || {_xml("u")} || '--' || {_xml("v")} || '" source="' || {_xml("u")} || '" target="' || {_xml("v")} || '" weight="' || printf('%.6f', weight) || '"/>' FROM e WHERE u < v
+""",
+    "memory_rebuilt": f"""
+WITH now AS ({problems.SQL["p4_found"]}),
+r AS (SELECT id, arg_min(occurred_at, created_at) AS at, arg_min(payload_json, created_at) AS payload FROM memory_events WHERE created_at IS NOT NULL GROUP BY 1)
+SELECT memory_id, status, c.payload->>'$.content' AS content, c.payload->>'$.kind' AS kind, c.at AS content_at, l.at AS updated_at
+FROM now LEFT JOIN r c ON c.id = content_event_id LEFT JOIN r l ON l.id = last_event_id
+""",
+    "memory_supersessions": """
+WITH n AS (SELECT scope_key, coalesce(memory_id, CASE WHEN json_valid(payload_json) THEN payload_json->>'$.memory_id' END) AS a,
+  CASE WHEN json_valid(payload_json) THEN payload_json->>'$.replacement_memory_id' END AS b FROM memory_events WHERE lower(trim(event_type)) = 'superseded')
+SELECT DISTINCT scope_key, a, b FROM n WHERE a <> b
 """,
     "erasure_memories": _ERASED + "SELECT id FROM memories WHERE id NOT IN (SELECT id FROM hit)",
     "erasure_events": _ERASED + "SELECT id, created_at FROM named WHERE m IS NULL OR m NOT IN (SELECT id FROM hit)",
