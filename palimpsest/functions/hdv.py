@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -100,3 +101,54 @@ def encoder(dimension: int = 1024):
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, ArrayType(LongType()))
+
+
+# --- short codes of texts -------------------------------------------------------------------------------------------
+
+
+def features(text: str) -> list[str]:
+    """Words and the character trigrams of each padded word, with repeats."""
+    out = []
+    for word in re.findall(r"\w+", text.lower()):
+        padded = f"^{word}$"
+        out += [f"token:{word}", *(f"gram:{padded[i : i + 3]}" for i in range(max(1, len(padded) - 2)))]
+    return out
+
+
+def short_code(text: str) -> bytes:
+    """256 bits by majority over the hashes of a text's features; ties, and a text without words, give ones."""
+    votes = np.zeros(256, np.int64)
+    for f in features(text):
+        votes += 2 * _hash_bits(f).astype(np.int64) - 1
+    return np.packbits(votes >= 0).tobytes()
+
+
+@lru_cache(1 << 16)
+def _hash_bits(feature: str) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(hashlib.sha256(feature.encode()).digest(), np.uint8))
+
+
+def short_codes():
+    """Column function: :func:`short_code` of texts, null for null."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else short_code(t))
+
+    return run
+
+
+def fingerprint_similarity():
+    """Column function of two texts: share of equal bits of their extendable hashes of 2,048 bytes."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        digest = lambda t: np.frombuffer(hashlib.shake_256(t.encode("utf-8", "surrogatepass")).digest(2048), np.uint64)
+        return pd.Series([None if x is None or y is None else 1 - int(np.bitwise_count(digest(x) ^ digest(y)).sum()) / 16384 for x, y in zip(a, b)], dtype="float64")
+
+    return run
+
+
+def attention(query: Column, context: Column, candidate: Column, alpha: float = 0.6) -> Column:
+    """A candidate's similarity to a query, mixed with its novelty: its similarity to what the query has beyond the context."""
+    return alpha * similarity(query, candidate) + (1 - alpha) * similarity(bind(query, context), candidate)

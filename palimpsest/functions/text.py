@@ -52,8 +52,9 @@ def glob_pattern(pattern: str) -> str:
         c = pattern[i]
         end = pattern.find("]", i + 2) if c == "[" else -1
         if end > 0:
-            inside = pattern[i + 1 : end].replace("\\", "\\\\")
-            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", end
+            no, inside = pattern[i + 1] in "!^", pattern[i + 1 : end]
+            plain = "".join(x if x == "-" or x.isalnum() else "\\" + x for x in inside[no:])
+            out, i = out + f"[{'^' * no}{plain}]", end
         else:
             out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
         i += 1

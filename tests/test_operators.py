@@ -1,9 +1,10 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions import hdv
+from palimpsest.functions import hdv, text
 from palimpsest.operators import consolidate, graph, lifecycle, sequence
 from palimpsest.sources import io
 from palimpsest.streaming import events as ev
@@ -197,3 +198,53 @@ def test_medoids_of_all_rows(spark):
         members = x[[i for i, at in out.items() if at == m]]
         costs = np.sqrt(((members[:, None] - members) ** 2).sum(2)).sum(1)
         assert np.sqrt(((members - x[m]) ** 2).sum(1)).sum() <= costs.min() + 1e-5
+
+
+def test_float_algebra(spark):
+    from palimpsest.operators import dense
+
+    r = np.random.default_rng(1)
+    a, b = (r.normal(size=8) for _ in range(2))
+    df = spark.createDataFrame([(1, a.tolist(), b.tolist()), (2, None, b.tolist()), (3, [1.0], b.tolist()), (4, [], [])], "id int, a array<double>, b array<double>")
+    got = {x.id: x for x in df.select("id", dense.bound(F.col("a"), F.col("b")).alias("c"), dense.unbound(dense.bound(F.col("a"), F.col("b")), F.col("b")).alias("u"), dense.rolled(F.col("a"), -3).alias("r")).collect()}
+    want = [sum(a[j] * b[(i - j) % 8] for j in range(8)) for i in range(8)]
+    assert np.allclose(got[1].c, want) and np.allclose(got[1].r, np.roll(a, -3))
+    inverse = np.r_[b[0], b[:0:-1]]
+    back = np.array([sum(want[j] * inverse[(i - j) % 8] for j in range(8)) for i in range(8)])
+    assert np.allclose(got[1].u, back / np.linalg.norm(back))
+    assert got[2].c is got[3].c is got[4].c is got[2].r is None and got[4].r == []
+
+
+def test_globs(spark):
+    import fnmatch
+
+    names = ["memory.added", "memory.gone", "memoryXadded", "a[b]", "", "x\ny", "[", "b"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for pattern in ("memory.*", "*", "?", "a[[]b]", "*.[ag]*", "[!a]*", "[", "x?y"):
+        got = {r.n for r in df.where(text.glob(F.col("n"), pattern)).collect()}
+        assert got == {n for n in names if fnmatch.fnmatchcase(n, pattern)}, pattern
+
+
+def test_anomalies_over_cells(spark):
+    r = np.random.default_rng(3)
+    rows = [(f"k{i % 2}", i, float(r.normal())) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at int, v double")
+    one = {x.at for x in consolidate.anomalies(df, "k", ["at"], "v", 20, 2.0).collect()}
+    assert one == {x.at for x in consolidate.anomalies(df, "k", ["at"], "v", 20, 2.0, cell=100).collect()} and len(one) > 20
+
+
+def test_archive_batches_are_replaced(spark, tmp_path):
+    df = spark.createDataFrame([(1, T0), (2, T0 + timedelta(days=1))], "id int, at timestamp_ntz")
+    for _ in range(2):
+        io.append_days(df, str(tmp_path / "a"), "at", "b1")
+    io.append_days(df, str(tmp_path / "a"), "at", "b2")
+    assert spark.read.json(str(tmp_path / "a")).count() == 4
+
+
+def test_catalog_survives_a_crash_between_renames(spark, tmp_path):
+    shots = io.Snapshots(spark, str(tmp_path / "s"))
+    for i in range(3):
+        shots.create(spark.range(i + 1), T0 + timedelta(days=i))
+    (tmp_path / "s" / "catalog").rename(tmp_path / "s" / "catalog.old")
+    assert shots.catalog().count() == 3
+    assert shots.expire(T0 + timedelta(days=3), 1, 100) and shots.catalog().count() == 1 and not (tmp_path / "s" / "catalog.old").exists()

@@ -1,5 +1,6 @@
 """Every core query gives the rows that DuckDB gives, or where SQL can't, those of plain Python."""
 
+import hashlib
 import importlib
 import math
 
@@ -70,7 +71,38 @@ def chunks(spark, got):
             assert set("".join(t.split())) <= set("".join("".join(parts[k]).split()))
 
 
-WITHOUT_SQL = {"vector_encoded_text": encoded, "dense_product_quantised": product_quantised, "dense_medoids": medoids, "context_chunks": chunks}
+def pairs_of_texts(spark):
+    text = {r.id: r.content for r in rows(spark, "memories", "id", "content")}
+    return {(r.memory_id, r.source_memory_id): (text[r.memory_id], text[r.source_memory_id]) for r in rows(spark, "memory_evidence", "memory_id", "source_memory_id")}
+
+
+def short_codes(spark, got):
+    """Bits voted one by one."""
+
+    def code(text):
+        votes = [0] * 256
+        for f in hdv.features(text):
+            n = int.from_bytes(hashlib.sha256(f.encode()).digest(), "big")
+            votes = [v + (1 if n >> i & 1 else -1) for i, v in enumerate(votes)]
+        return [v >= 0 for v in votes]
+
+    pairs = pairs_of_texts(spark)
+    for r in got[:40]:
+        a, b = (code(t) for t in pairs[r.memory_id, r.source_memory_id])
+        assert abs(r.similarity - sum(x == y for x, y in zip(a, b)) / 256) < 1e-7
+    assert {(r.memory_id, r.source_memory_id) for r in got} == set(pairs)
+    assert hdv.features("Ab é") == ["token:ab", "gram:^ab", "gram:ab$", "token:é", "gram:^é$"] and hdv.short_code("") == b"\xff" * 32
+
+
+def fingerprints(spark, got):
+    pairs = pairs_of_texts(spark)
+    assert {(r.memory_id, r.source_memory_id) for r in got} == set(pairs)
+    for r in got:
+        a, b = (int.from_bytes(hashlib.shake_256(t.encode()).digest(2048), "big") for t in pairs[r.memory_id, r.source_memory_id])
+        assert abs(r.similarity - 1 + (a ^ b).bit_count() / 16384) < 1e-7
+
+
+WITHOUT_SQL = {"vector_short_codes": short_codes, "vector_fingerprints": fingerprints, "vector_encoded_text": encoded, "dense_product_quantised": product_quantised, "dense_medoids": medoids, "context_chunks": chunks}
 
 
 @pytest.mark.parametrize("name", sorted(CORE))
