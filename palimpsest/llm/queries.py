@@ -38,6 +38,7 @@ QUERIES = {
     "p5_nearest": lambda s, d: _of_tables(s, d, vectors.nearest),
     "p6_ids": lambda s, d: tokenizers.encode(table(s, d, "documents")),
     "p6_decoded": lambda s, d: tokenizers.decode(tokenizers.encode(table(s, d, "documents"))),
+    "p6_offsets": lambda s, d: tokenizers.token_offsets(table(s, d, "documents")),
     "p7_packed": _packed,
     "p7_fill": lambda s, d: packing.fill(_packed(s, d), table(s, d, "context_windows")),
     "p8_found": lambda s, d: spans.shared_spans(table(s, d, "documents")),
