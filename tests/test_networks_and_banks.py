@@ -194,3 +194,42 @@ def test_relevance_and_complexity(spark):
     got = [(round(r.r, 6), r.c) for r in df.select(tx.keyword_relevance("Audit trail", F.col("t")).alias("r"), tx.complexity(F.col("t")).alias("c")).collect()]
     assert got == [(0.1, 0.6), (0.1, 0.0), (0.1, 0.0), (1.0, 0.0), (0.8, 0.3)]
     assert df.select(tx.keyword_relevance(" ", F.col("t")).alias("r")).first().r == 0.5
+
+
+def test_lookups(spark):
+    from datetime import datetime as T
+
+    from palimpsest.operators import access
+
+    t = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), (None, 3)], "id string, v int")
+    asked = spark.createDataFrame([(0, "b"), (1, "b"), (2, "x"), (3, None)], "position int, id string")
+    assert sorted(tuple(r) for r in access.batch_get(t, asked, "id").collect()) == [(0, "b", True, 2), (1, "b", True, 2), (2, "x", False, None), (3, None, False, None)]
+    rows = spark.createDataFrame([(i // 3, f"k{i}") for i in range(10)], "n int, k string")
+    got, after = [], None
+    while part := [tuple(r) for r in access.page(rows, ["n", "k"], after, 4).collect()]:
+        got, after = got + part, part[-1]
+    assert got == sorted(tuple(r) for r in rows.collect())
+    log = spark.createDataFrame([("a", T(2020, 1, 1), 1), ("a", T(2020, 1, 2), 2), ("a", T(2020, 1, 5), 3), ("b", T(2020, 1, 1), 4), ("c", None, 5)], "k string, at timestamp_ntz, v int")
+    assert {r.v for r in access.truncated(log, "at", T(2020, 1, 3)).collect()} == {3, 5}
+    assert {r.v for r in access.truncated(log, "at", T(2020, 1, 3), "k").collect()} == {2, 3, 4, 5}
+    assert {r.v for r in access.since(log, "at", T(2020, 1, 2), T(2020, 1, 5)).collect()} == {2}
+    best = access.best_of_each(log, ["k"], ["at", "v"], 2)
+    assert sorted((r.k, r.position, r.v) for r in best.collect()) == [("a", 0, 3), ("a", 1, 2), ("b", 0, 4), ("c", 0, 5)]
+    assert access.batch_get(t.limit(0), asked, "id").where("found").count() == 0
+
+
+def test_times_and_identifiers(spark):
+    from datetime import datetime as T
+
+    from palimpsest.operators import access
+
+    texts = {
+        "2020-02-03T04:05:06Z": T(2020, 2, 3, 4, 5, 6), "2020-02-03T04:05:06.123456789+01:30": T(2020, 2, 3, 2, 35, 6, 123456), "2020-02-03T04:05:06.5-00:45": T(2020, 2, 3, 4, 50, 6, 500000),
+        "2020-02-03T04:05:06": None, "2020-02-30T04:05:06Z": None, "": None, None: None, "x": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.p for r in df.select("t", access.parsed_time(F.col("t")).alias("p")).collect()} == texts
+    ids = spark.createDataFrame([(" a b\n",), ("",), ("\t ",), (None,)], "t string")
+    assert [r.i for r in ids.select(access.identifier(F.col("t")).alias("i")).collect()] == ["a b", None, None, None]
+    with pytest.raises(ValueError):
+        access.dispatched("other", df, df, "t")
