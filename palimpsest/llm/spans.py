@@ -305,7 +305,8 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     buckets = bucket_count(documents, 2.0, BUCKET_BYTES)
     slim = documents.select("doc_id", "text")
     hits = shared_anchors(slim, min_chars, buckets).persist(StorageLevel.MEMORY_AND_DISK)
-    hinted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "size")).alias("hits")).hint("shuffle_hash")
+    # distinct, as repeated rows of a document have the same anchors
+    hinted = hits.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "place", "size")).alias("hits")).hint("shuffle_hash")
     schema = "anchor bigint, doc_id bigint, place bigint, left bigint, context string, size bigint"
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
