@@ -31,7 +31,7 @@ def _hops(s, d):
 
 
 def _paths(s, d):
-    p = network.simple_paths(_edges(s, d), _sources(s, d), 3, 0.35)
+    p = network.simple_paths(_edges(s, d), _sources(s, d), 3, 0.25)
     return p.select("source", "target", F.col("hops").cast("bigint").alias("hops"), F.array_join("path", ">").alias("path"), F.round("strength", 8).alias("strength"))
 
 
@@ -160,7 +160,7 @@ r(source, target, hops) AS (SELECT DISTINCT u, v, 1 FROM e UNION SELECT source,
 SELECT source, target, min(hops)::BIGINT AS hops FROM r WHERE source <> target GROUP BY 1, 2
 """,
     "network_simple_paths": f"""
-WITH {_E}, l AS (SELECT * FROM e WHERE weight >= 0.35),
+WITH {_E}, l AS (SELECT * FROM e WHERE weight >= 0.25),
 a AS (SELECT u AS source, v AS target, 1 AS hops, [u, v] AS path, weight AS strength FROM l),
 b AS (SELECT source, v, 2, list_append(path, v), strength * weight FROM a JOIN l ON l.u = target WHERE NOT list_contains(path, v)),
 c AS (SELECT source, l.v, 3, list_append(q.path, l.v), q.strength * weight FROM b q(source, target, hops, path, strength) JOIN l ON l.u = q.target WHERE NOT list_contains(q.path, l.v))

@@ -233,3 +233,11 @@ def test_times_and_identifiers(spark):
     assert [r.i for r in ids.select(access.identifier(F.col("t")).alias("i")).collect()] == ["a b", None, None, None]
     with pytest.raises(ValueError):
         access.dispatched("other", df, df, "t")
+
+
+def test_simple_paths(spark):
+    edges = two_way([("a", "b", 0.5), ("b", "c", 0.4), ("a", "c", 0.9), ("c", "d", 0.05), ("d", "e", 0.5)])
+    df = spark.createDataFrame(edges + [("a", "a", 1.0), (None, "b", 1.0)], "u string, v string, weight double")
+    got = {(tuple(r.path), r.hops, round(r.strength, 9)) for r in network.simple_paths(df, spark.createDataFrame([("a",), ("a",), (None,)], "source string"), 3, 0.1).collect()}
+    assert got == {(("a", "b"), 1, 0.5), (("a", "c"), 1, 0.9), (("a", "b", "c"), 2, 0.2), (("a", "c", "b"), 2, 0.36)}
+    assert network.simple_paths(df.limit(0), spark.createDataFrame([("a",)], "source string")).count() == 0
