@@ -5,10 +5,17 @@ Edges are two-way rows (u, v, weight) unless said otherwise. Null ends and self-
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import checkpoint
+from palimpsest.session import bucket_count, by_bucket, checkpoint
 
 # --- paths ----------------------------------------------------------------------------------------------------------
 
@@ -128,20 +135,100 @@ def over_capacity(nodes: DataFrame, key: str, score: str, most: int) -> DataFram
 def similar_word_sets(sets: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of rows whose sets of words are similar enough, exactly.
 
-    Two such sets share one of their rarest words: of n words, one of the first n - ceil(threshold n) + 1 in order of how
-    many sets hold them. Only those are joined, never all pairs. Empty and null sets match nothing.
+    Two such sets share one of their rarest words: of n words, one of the first n - ceil(threshold n) + 1 in any order of all
+    words. Sets are posted under those as 46 bytes (size, hash of the key, parities of the words), and the postings of a word
+    are compared where they are: parities differ in no more places than the sets differ in words. Only pairs that pass leave
+    the task, and their words are compared in full. Empty and null sets match nothing.
     """
-    rows = sets.select(F.col(key).alias("k"), F.array_distinct(words).alias("w")).where("k is not null and size(w) > 0").dropDuplicates(["k"])
-    held = rows.select("k", F.size("w").alias("n"), F.explode("w").alias("x"))
-    spread = held.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    listed = held.join(spread, "x").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("rare"))  # at most a row's own words
-    length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int") - (F.col("n") - F.size("rare"))
-    first = listed.where(length > 0).select("k", "n", F.explode(F.slice("rare", F.lit(1), length)).alias("m")).select("k", "n", F.col("m.x").alias("x"))
-    near = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    pairs = first.toDF("a", "na", "x").join(first.toDF("b", "nb", "x"), "x").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    both = pairs.join(rows.toDF("a", "wa"), "a").join(rows.toDF("b", "wb"), "b")
+    rows = sets.select(F.col(key).alias("k"), F.array_distinct(words).alias("w")).where("k is not null")
+    if not rows.groupBy("k").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["k"])
+    rows = rows.where("size(w) > 0").withColumn("h", F.xxhash64("k"))
+    often = rows.select(F.explode("w").alias("x")).groupBy("x").count().where("x is not null and count > 1").orderBy(F.desc("count"), "x").limit(_RANKED).collect()
+    rank = {r["x"]: -i for i, r in enumerate(often, 1)}
+    buckets = bucket_count(rows, 2.0)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _word_postings(batches, rank, threshold, buckets)
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _alike_in_bucket(table, threshold)
+
+    posted = rows.select("h", "w").mapInArrow(post, "bucket int, blob binary")
+    pairs = by_bucket(posted, buckets).applyInArrow(compare, "ha long, hb long").distinct().persist(StorageLevel.DISK_ONLY)
+    ends = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
+    count = ends.count()
+    held = rows.join(F.broadcast(ends) if count <= _BROADCAST_HASHES else ends, "h", "left_semi").select("k", "w", "h")
+    # a hash of two keys brings in both, so nothing depends on hashes being unique
+    both = pairs.join(held.toDF("ka", "wa", "ha"), "ha").join(held.toDF("kb", "wb", "hb"), "hb").where(F.when(F.col("ha") == F.col("hb"), F.col("ka") < F.col("kb")).otherwise(F.col("ka") != F.col("kb")))
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), (common / (F.size("wa") + F.size("wb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+#: Words ordered by how many sets hold them; the others are rarer and ordered by hash. Hashes of keys that are broadcast (8 bytes each).
+_RANKED, _BROADCAST_HASHES = 30_000, 1_000_000
+#: Parities of a set's words, and pairs of postings compared at a time.
+_PARITY_WORDS, _CELLS = 4, 1 << 17
+_POSTING = np.dtype([("x", "<i8"), ("h", "<i8"), ("n", "<i4"), ("p", "<u8", (_PARITY_WORDS,))])
+
+
+def _word_postings(batches: Iterator[pa.RecordBatch], rank: dict[str, int], threshold: float, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, blob): the postings of the rows (h, w), those of one word in one bucket."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        lists = batch.column(1)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        known = [*coded.dictionary.to_pylist(), None]  # a null counts as a word of its own
+        where = coded.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)
+        digest = np.frombuffer(b"".join(bytes(16) if w is None else hashlib.blake2b(w.encode(), digest_size=16).digest() for w in known), np.int64).reshape(-1, 2)
+        # the order of words: rare ones by hash, then the ranked ones, the most frequent last
+        order = np.array([len(rank) + 1 + rank.get(w, -len(rank) - 1) for w in known], np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = digest[where, 1].view(np.uint64) % np.uint64(64 * _PARITY_WORDS)
+        parity = np.zeros((len(sizes), _PARITY_WORDS), np.uint64)
+        np.bitwise_xor.at(parity, (row, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        by = np.lexsort((digest[where, 0], order[where], row))
+        nth = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = by[nth < np.repeat(sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1, sizes)]
+        out = np.empty(len(first), _POSTING)
+        out["x"], out["h"], out["n"], out["p"] = digest[where[first], 0], batch.column(0).to_numpy()[row[first]], sizes[row[first]], parity[row[first]]
+        to = (digest[where[first], 0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        by = np.argsort(to, kind="stable")
+        ends = np.flatnonzero(np.diff(to[by], append=-1)) + 1
+        blobs = [out[x].tobytes() for x in np.split(by, ends[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(to[by][ends - 1], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _alike_in_bucket(table: pa.Table, threshold: float) -> pa.Table:
+    """(ha, hb): pairs of postings of a word whose sizes and parities allow the similarity."""
+    rows = np.concatenate([np.frombuffer(b, _POSTING) for b in table.column("blob").to_pylist()])
+    rows = rows[np.lexsort((rows["n"], rows["x"]))]
+    h, n, p = (np.ascontiguousarray(rows[c]) for c in ("h", "n", "p"))
+    p = np.ascontiguousarray(p.T)
+    ends = np.flatnonzero(np.diff(rows["x"])) + 1
+    found = [np.zeros((0, 2), np.int64)]
+    for start, end in zip(np.r_[0, ends], np.r_[ends, len(rows)]):
+        i = start
+        while i < end - 1:
+            step = int(max(1, min(end - i, _CELLS // (end - i))))
+            last = i + int(np.searchsorted(n[i:end], n[min(i + step, end) - 1] / threshold + 1e-9, "right"))  # sorted by size
+            a, b = slice(i, min(i + step, end)), slice(i, last)
+            apart = np.bitwise_count(p[0, a, None] ^ p[0, None, b]).astype(np.int16)
+            for w in range(1, _PARITY_WORDS):
+                apart += np.bitwise_count(p[w, a, None] ^ p[w, None, b])
+            most = ((n[a, None] + n[None, b]) * ((1 - threshold) / (1 + threshold)) + 1e-9).astype(np.int32)
+            r, c = np.nonzero(apart <= most)
+            r, c = r[c > r] + i, c[c > r] + i
+            fits = n[r] >= n[c] * threshold - 1e-9
+            r, c = r[fits], c[fits]
+            found.append(np.stack([np.minimum(h[r], h[c]), np.maximum(h[r], h[c])], 1))
+            i += step
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)]] if len(pairs) else pairs
+    return pa.table({"ha": pairs[:, 0], "hb": pairs[:, 1]})
 
 
 def redundant_nodes(nodes: DataFrame, key: str, words: str, at: str, threshold: float = 0.92) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,19 @@ def test_redundant_and_similar_sets(spark):
     assert {(x.keep_id, x.remove_id) for x in network.redundant_nodes(df, "id", "w", "at", 0.6).collect()} == want  # older ids come first
 
 
+def test_postings_of_a_word_are_compared_in_place():
+    """Sets that share a word but little else leave no pairs to be joined: the pairs are those alike, and few more."""
+    r = random.Random(4)
+    sets = [sorted({f"w{r.randrange(200)}" for _ in range(40)}) for _ in range(600)]
+    sets += [s[:-1] + ["new"] for s in sets[:30]]
+    batch = pa.RecordBatch.from_pydict({"h": list(range(630)), "w": sets}, pa.schema([("h", pa.int64()), ("w", pa.list_(pa.string()))]))
+    rank = {f"w{i}": -i for i in range(1, 100)}
+    posted = pa.Table.from_batches(network._word_postings(iter([batch]), rank, 0.8, 1))
+    got = network._alike_in_bucket(posted, 0.8).to_pylist()
+    want = {(a, b) for a in range(630) for b in range(a + 1, 630) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert want <= {(x["ha"], x["hb"]) for x in got} and len(want) >= 30 and len(got) <= 2 * len(want)
+
+
 def test_cross_domain_pairs(spark):
     r = random.Random(5)
     rows = [(f"r{i:03}", r.choice("xy"), r.choice(["a", "b", "c"]), 1_500_000_000 + r.randrange(3000)) for i in range(120)]
