@@ -4,11 +4,16 @@ A bounded sample is halved again and again into balanced groups; the groups' maj
 searched through an in-memory graph. A vector is put into its nearest lists as long as their distance stays within a
 ratio of the nearest one's, so vectors at a boundary stand in several lists. Every list compares its members; a pair that
 meets in several lists is taken from the lowest common one only.
+
+The more lists there are, the likelier two close vectors fall into different ones. So beyond ``FLAT_LISTS`` the lists are
+nested: few long ones are searched through the graph and exchanged, each a bucket, and divided again within their task,
+where a vector stands in more lists, as that costs no exchange.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +35,16 @@ LIST_SIZE, SAMPLE_PER_LIST = 500, 24
 MAX_CENTROIDS, MAX_SAMPLE = 32_768, 400_000
 #: A vector stands in at most so many lists, none farther than this ratio of the nearest.
 REPLICAS, RATIO = 5, 1.045
+#: Beyond so many lists they are nested: outer lists of so many vectors, at least so many of them, from so large a sample a list.
+FLAT_LISTS, OUTER_SIZE, OUTER_LEAST, OUTER_SAMPLE = 1_024, 100_000, 24, 800
+#: No outer list of a vector is farther than this ratio of the nearest one; how many it may stand in follows their number.
+OUTER_RATIO = 1.06
 #: Neighbouring lists are dealt to buckets in blocks of 2 to this power.
 BLOCK_BITS = 5
 #: Lists beyond this are divided again before their members are compared.
 MAX_LIST = 25_000
+#: Outer lists beyond this are divided by so many centroids, or one for ``DIVIDED`` members if that is more; the lists of a member.
+OUTER_LONGEST, INNER, INNER_REPLICAS = 5_000, 512, 8
 #: Vectors a list of such a division stands for, and its ratio.
 DIVIDED, DIVIDED_RATIO = 700, 1.08
 #: Copies of one vector that stand in the index; a further copy's nearest are the first of them.
@@ -215,10 +226,22 @@ def decoded_vectors(compressed: DataFrame, codebooks: DataFrame, max_codebooks:
 # --- index ----------------------------------------------------------------------------------------------------------
 
 
-def fit(codes: DataFrame, rows: int, list_size: int = LIST_SIZE, seed: int = 7) -> Graph | None:
-    """The centroid graph, from at most ``MAX_SAMPLE`` sampled vectors; None for an empty table."""
-    lists = max(1, min(MAX_CENTROIDS, rows // list_size))
-    wanted = min(MAX_SAMPLE, max(2_000, lists * SAMPLE_PER_LIST))
+def nested(rows: int, list_size: int = LIST_SIZE) -> bool:
+    return rows // list_size > FLAT_LISTS
+
+
+def outer_replicas(lists: int) -> int:
+    """Outer lists a vector may stand in, so that as few close pairs are parted by many lists as by few."""
+    return max(4, math.ceil(0.75 * math.log2(max(2, lists))))
+
+
+def fit(codes: DataFrame, rows: int, list_size: int = LIST_SIZE, seed: int = 7, outer: bool = False) -> Graph | None:
+    """The graph of the centroids, of the ``outer`` lists' where lists are nested; from at most ``MAX_SAMPLE`` sampled vectors.
+
+    None for an empty table.
+    """
+    lists = max(1, min(MAX_CENTROIDS, max(OUTER_LEAST, rows // OUTER_SIZE) if outer else rows // list_size))
+    wanted = min(MAX_SAMPLE, max(2_000, lists * (OUTER_SAMPLE if outer else SAMPLE_PER_LIST)))
     share = min(1.0, wanted / max(rows, 1))
     picked = codes.select("code") if share >= 1 else codes.select("code").sample(share, seed)
     sample = picked.limit(2 * wanted).toArrow().column("code").to_pylist()
@@ -232,9 +255,9 @@ def fit(codes: DataFrame, rows: int, list_size: int = LIST_SIZE, seed: int = 7)
     return Graph(centroids, rng)
 
 
-def _bucket_of_list(lists: np.ndarray, buckets: int) -> np.ndarray:
+def _bucket_of_list(lists: np.ndarray, buckets: int, block_bits: int = BLOCK_BITS) -> np.ndarray:
     """Blocks of neighbouring lists share a bucket, so a vector goes to few buckets; crowded regions still spread."""
-    return np.where(lists >= 0, (lists >> BLOCK_BITS) % buckets, -1)
+    return np.where(lists >= 0, (lists >> block_bits) % buckets, -1)
 
 
 def _pack(code: np.ndarray, keys: list[bytes], lists: np.ndarray) -> bytes:
@@ -251,14 +274,14 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return code, [side[a:b] for a, b in zip(ends[:-1], ends[1:])], np.frombuffer(side, np.int32, n * m, 4 * n).reshape(n, m)
 
 
-def _posting_batches(batches: Iterator[pa.RecordBatch], graph: Graph, buckets: int) -> Iterator[pa.RecordBatch]:
+def _posting_batches(batches: Iterator[pa.RecordBatch], graph: Graph, buckets: int, block_bits: int, replicas: int, ratio: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
         keys = [k.encode() for k in batch.column(0).to_pylist()]
         code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
-        lists = graph.assign(code)
-        bucket = _bucket_of_list(lists, buckets)
+        lists = graph.assign(code, replicas, ratio)
+        bucket = _bucket_of_list(lists, buckets, block_bits)
         bucket.sort(1)
         first = np.concatenate([np.ones((len(bucket), 1), bool), bucket[:, 1:] != bucket[:, :-1]], 1) & (bucket >= 0)
         row, col = np.nonzero(first)
@@ -334,31 +357,57 @@ class _Close:
         return tuple(np.concatenate(found).T)
 
 
-def _list_pairs(v: np.ndarray, close: _Close) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The close pairs of a list; one that outgrew its size is divided first.
+def _divided(v: np.ndarray, centres: np.ndarray, replicas: int, ratio: float) -> np.ndarray:
+    """The nearest of a few centres for each vector, by one matrix product; -1 where the ratio rules one out."""
+    out, columns, m = np.empty((len(v), min(replicas, len(centres))), np.int32), signs(centres).T, min(replicas, len(centres))
+    for i in range(0, len(v), 2048):
+        d = distances(v[i : i + 2048], columns)
+        near = np.argpartition(d, m - 1, 1)[:, :m] if m < d.shape[1] else np.broadcast_to(np.arange(m), d.shape)
+        d = np.take_along_axis(d, near, 1)
+        out[i : i + 2048] = np.where(d <= ratio * np.maximum(d.min(1, keepdims=True), 1), near, -1)
+    return out
+
 
-    Such a list is a crowd around one centre, which any mean of its members comes near to and would draw them all. Single
-    members divide it evenly.
+def _list_pairs(v: np.ndarray, close: _Close, outer: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The close pairs of a list; an outer one, or one that outgrew its size, is divided first.
+
+    A list that outgrew its size is a crowd around one centre, which any mean of its members comes near to and would draw
+    them all. Single members divide it evenly. In outer lists such crowds are lists of the division, which are divided again.
     """
-    if len(v) <= MAX_LIST:
+    if len(v) <= (OUTER_LONGEST if outer else MAX_LIST):
         return close.pairs(v)
     rng = np.random.default_rng(len(v))
-    members = v[rng.choice(len(v), len(v) // DIVIDED, replace=False)]
-    lists = Graph(members, rng).assign(v, REPLICAS, DIVIDED_RATIO)
+    if outer:
+        parts = max(len(v) // DIVIDED, min(INNER, len(v) // 100))
+        sample = np.unique(v[rng.choice(len(v), min(len(v), parts * SAMPLE_PER_LIST), replace=False)], axis=0)
+        lists = _divided(v, halve(sample, min(parts, len(sample)), rng), INNER_REPLICAS, DIVIDED_RATIO)
+    else:
+        members = v[rng.choice(len(v), len(v) // DIVIDED, replace=False)]
+        lists = Graph(members, rng).assign(v, REPLICAS, DIVIDED_RATIO)
     flat = lists.ravel()
     order = np.argsort(flat, kind="stable")
     start, length = runs(flat[order])
-    found = []
+    pairs, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
     for s, n in zip(start, length):
         if flat[order[s]] >= 0:
             members = np.sort(order[s : s + n] // lists.shape[1])
-            i, j, d = close.pairs(v[members])
-            found.append(np.stack([members[i], members[j], d], 1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1], pairs[:, 2]
+            i, j, d = _list_pairs(v[members], close) if outer else close.pairs(v[members])
+            pairs.append(members[i] * len(v) + members[j])
+            far.append(d.astype(np.int16))
+    pairs, first = np.unique(np.concatenate(pairs), return_index=True)
+    return pairs // len(v), pairs % len(v), np.concatenate(far)[first].astype(np.int64)
+
+
+def _lowest_common(a: np.ndarray, b: np.ndarray, none: int) -> np.ndarray:
+    """The lowest list that both of a pair stand in; ``none`` where there is none."""
+    out = np.empty(len(a), np.int64)
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16), :, None], b[i : i + (1 << 16), None, :]
+        out[i : i + (1 << 16)] = np.where((x == y) & (x >= 0), x, none).min((1, 2))
+    return out
 
 
-def _neighbours_of_bucket(table: pa.Table, buckets: int, n_lists: int, k: int, radius: int) -> pa.Table:
+def _neighbours_of_bucket(table: pa.Table, buckets: int, n_lists: int, k: int, radius: int, block_bits: int = BLOCK_BITS, outer: bool = False) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     parts = [_unpack(b) for b in table.column("blob").to_pylist()]
     code = np.concatenate([p[0] for p in parts])
@@ -374,7 +423,7 @@ def _neighbours_of_bucket(table: pa.Table, buckets: int, n_lists: int, k: int, r
             again[i] = (code[j] == code[i]).all()
             j -= 1
     code, keys, lists = code[~again], keys[~again], lists[~again]
-    row, col = np.nonzero(_bucket_of_list(lists, buckets) == bucket)
+    row, col = np.nonzero(_bucket_of_list(lists, buckets, block_bits) == bucket)
     which = lists[row, col]
     order = np.argsort(which, kind="stable")
     row, which = row[order], which[order]
@@ -382,11 +431,10 @@ def _neighbours_of_bucket(table: pa.Table, buckets: int, n_lists: int, k: int, r
     out_q, out_n, out_d = [], [], []
     for s, n in zip(*runs(which)):
         members = row[s : s + n]
-        i, j, d = _list_pairs(mixed[members], close)
+        i, j, d = _list_pairs(mixed[members], close, outer)
         a, b = members[i], members[j]
         # the lowest list both stand in is theirs
-        common = np.where((lists[a][:, :, None] == lists[b][:, None, :]) & (lists[a][:, :, None] >= 0), lists[a][:, :, None], n_lists).min((1, 2))
-        mine = (common == which[s]) & (keys[a] != keys[b])
+        mine = (_lowest_common(lists[a], lists[b], n_lists) == which[s]) & (keys[a] != keys[b])
         a, b, d = a[mine], b[mine], d[mine]
         out_q += [a, b]
         out_n += [b, a]
@@ -423,19 +471,22 @@ def nearest(codes: DataFrame, k: int = K, radius: int = RADIUS, list_size: int =
     a group of copies of any size costs no comparisons. An empty table gives no rows.
     """
     rows = codes.count()
-    graph = fit(codes, rows, list_size)
+    outer = nested(rows, list_size)
+    graph = fit(codes, rows, list_size, outer=outer)
     schema = "key string, neighbour string, distance int"
     if graph is None:
         return codes.sparkSession.createDataFrame([], f"{schema}, rank int")
     main, copies = _copies_apart(codes, k)
-    buckets = min((len(graph.centroids) >> BLOCK_BITS) + 1, bucket_count(codes, 4.0))
     n_lists = len(graph.centroids)
+    block_bits = 0 if outer else BLOCK_BITS
+    replicas, ratio = (outer_replicas(n_lists), OUTER_RATIO) if outer else (REPLICAS, RATIO)
+    buckets = n_lists if outer else min((n_lists >> BLOCK_BITS) + 1, bucket_count(codes, 4.0))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _posting_batches(batches, graph, buckets)
+        return _posting_batches(batches, graph, buckets, block_bits, replicas, ratio)
 
     def neighbours(table: pa.Table) -> pa.Table:
-        return _neighbours_of_bucket(table, buckets, n_lists, k, radius)
+        return _neighbours_of_bucket(table, buckets, n_lists, k, radius, block_bits, outer)
 
     found = by_bucket(main.mapInArrow(postings, "bucket int, blob binary"), buckets).applyInArrow(neighbours, schema)
     if copies is not None:

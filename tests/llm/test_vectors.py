@@ -90,6 +90,26 @@ def test_divided_lists_and_matrix_path(monkeypatch):
     assert {(int(x), int(y)) for x, y in zip(a, b)} <= want
 
 
+def test_recall_of_nested_lists(spark, monkeypatch):
+    """Close pairs aren't parted by thousands of lists: with more than FLAT_LISTS of them few long ones are divided again."""
+    rows = made(11, 3000, 4)
+    monkeypatch.setattr(vectors, "FLAT_LISTS", 500)
+    monkeypatch.setattr(vectors, "OUTER_SIZE", 400)
+    assert vectors.nested(len(rows), 10) and len(vectors.fit(frame(spark, rows), len(rows), 10, outer=True).centroids) == 30
+    got = {tuple(r) for r in vectors.nearest_pairs(frame(spark, rows), list_size=10).collect()}
+    want = brute(rows)
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
+def test_outer_lists_are_divided(monkeypatch):
+    v = np.concatenate([np.frombuffer(x, np.uint64)[None] for _, x in made(12, 400, 5)])
+    close = vectors._Close(256)
+    want = {(int(a), int(b)): int(d) for a, b, d in zip(*close.pairs(v))}
+    monkeypatch.setattr(vectors, "OUTER_LONGEST", 500)
+    got = list(zip(*vectors._list_pairs(v, close, outer=True)))
+    assert len(got) == len(set(got)) >= 0.97 * len(want) and all(want[int(a), int(b)] == d for a, b, d in got)
+
+
 def test_decoding_and_unusable_records(spark):
     v = np.random.default_rng(7).integers(0, 256, 128).astype(np.uint8)
     bits = np.unpackbits(v)
