@@ -1,8 +1,8 @@
 """Finding personal items in free text and replacing them with typed placeholders, over Arrow batches.
 
-Stretches of a text that could hold an item (digits, at-signs, pairs of capitalised words and the like, with a margin) are
-scored by the network; every item that comes out, of any type, was labelled by it. Its ends are then moved to whole words,
-and an item that lacks what its type can't be without is dropped.
+Every character of a text is scored by the network, and every item that comes out, of any type, was labelled by it. Its ends
+are then moved to whole words, and an item that lacks what its type can't be without is dropped. Only texts that lack that for
+every type aren't scored, and equal texts are scored once in a block; neither changes what is found.
 """
 
 from __future__ import annotations
@@ -21,27 +21,19 @@ from pyspark.sql import functions as F
 from palimpsest.llm.pii.model import TYPES, Network, char_codes, decode
 
 PLACEHOLDERS = tuple(f"[{t.upper()}]" for t in TYPES)
-#: Characters of context on each side of what could be an item.
-MARGIN = 36
 #: Texts decoded together, and the characters in them: one text more ends a block that has as many.
-BLOCK, BLOCK_CHARS = 4096, 1 << 21
+BLOCK, BLOCK_CHARS = 4096, 1 << 20
 
 #: Function words, which begin sentences and never a name.
 _PLAIN = (
     "A|An|The|This|That|These|Those|It|Its|He|She|We|You|They|I|If|No|Not|What|Which|Who|When|Where|Why|How|Our|Your|My|His|Her|Their|After|Before|Between|In|On|At|By|For|From|To|Of|And|But|Or|So|While|Since|Under|Over|With|Without|As|Is|Are|Was|Were|Do|Does|Did|Can"
     "|Der|Die|Das|Dem|Den|Ein|Eine|Und|Oder|Mit|Von|Im|Am|La|Le|Les|Un|Une|Des|Du|Et|El|Los|Las|Una|Y|De|Det|En|Ett|Och|Il|Lo|Gli|Che"
 )
-_CAP = r"\p{Lu}[\p{L}'’\-]*\p{L}"
 #: Words of street lines.
 _LANES = "street|road|lane|avenue|drive|court|close|crescent|terrace|way|place|square|boulevard|grove|hill|gardens|row|walk|parkway|st|rd|ave|ln|dr|blvd"
 _WAYS = "rue|avenue|boulevard|chemin|impasse|place|calle|avenida|paseo|plaza|via|viale|piazza|corso|rua|largo|ul|aleja"
-TRIGGERS = regex.compile(
-    r"(?=[@%&(\[\s\d\p{Lu}])(?:@|%40|&#64;|[(\[]\s?(?i:at)\s?[)\]]|\s(?:AT|at)\s(?=\S+(?:\.|\s(?i:dot)\s|\s?[(\[](?i:dot))\s?\p{L}{2})"
-    rf"|\d(?:[\d\s.()/+\-–]{{4,}}\d|\p{{L}}?,?\s+(?:\p{{Lu}}|(?:{_WAYS})\b|\p{{Ll}}+\s(?:{_LANES})\b))"
-    rf"|(?<!\p{{L}})(?:{_CAP}\.?,?\s+\d|(?!(?:{_PLAIN})\b)(?:\p{{Lu}}\.|{_CAP}),?\s+(?:\p{{Lu}}\.\s+)*(?:\p{{Ll}}{{2,3}}\s+){{0,2}}(?:\p{{Lu}}\.|[\p{{Lu}}]['’]?[\p{{L}}])))"
-)
-#: Words near which a name may stand in lower case.
-_NEAR_NAMES = re.compile("name|user|ustomer|lient|atient|igned|egards|incerely|attn|ttention")
+#: A digit, a mark of an email or the space between two words, one of which every item has (see ``exact``).
+_POSSIBLE = regex.compile(r"[\p{N}\s,@(\[]")
 _LITERAL = regex.compile(r'"(?:[^"\\]|\\.)*+("|$)', regex.S)
 _KEY_AFTER = regex.compile(r"\s*:")
 _FLAT = regex.compile(r"^(?:flat|apt\.?|apartment|unit)\s+\w+\s*,\s*", regex.I)
@@ -64,16 +56,8 @@ def normal(value: str) -> str:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that could hold an item, with their margins; those that touch are one."""
-    hits = [m.span() for m in TRIGGERS.finditer(text)] + [m.span() for m in _NEAR_NAMES.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for a, z in sorted(hits):
-        a, z = max(0, a - MARGIN), min(len(text), z + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
-    return out
+    """The stretches to be scored: the whole text, unless no item of any type can stand in it."""
+    return [(0, len(text))] if _POSSIBLE.search(text) or any(c.isdigit() or c.isspace() for c in text) else []
 
 
 def _grown(text: str, a: int, z: int, joins: str) -> tuple[int, int]:
@@ -197,19 +181,20 @@ class Detector:
 
     def find(self, texts: list[str], heads: list[str] | None = None) -> list[list[tuple[int, int, int]]]:
         """Items (start, end, type) of each text. ``heads`` are words before a text that tell about it, such as a JSON key."""
-        pieces, where = [], []
+        pieces, seen, where = [], {}, []
         for i, text in enumerate(texts):
             head = f"{heads[i]}: " if heads and heads[i] else ""
-            parts = regions(text)
-            if parts and (head or len(text) <= 2 * MARGIN):
-                parts = [(0, len(text))] if len(text) <= 4 * MARGIN else parts
-            for a, z in parts:
+            for a, z in regions(text):
                 lead = head if a == 0 else ""
-                pieces.append(char_codes(lead + text[a:z]))
-                where.append((i, a - len(lead)))
+                piece = lead + text[a:z]
+                if piece not in seen:
+                    seen[piece] = len(pieces)
+                    pieces.append(char_codes(piece))
+                where.append((i, a - len(lead), seen[piece]))
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for (i, shift), spans in zip(where, decode(self.network, pieces)):
-            for a, z, kind in spans:
+        labelled = decode(self.network, pieces)
+        for i, shift, piece in where:
+            for a, z, kind in labelled[piece]:
                 a, z = max(0, a + shift), z + shift
                 if z <= a:
                     continue

@@ -32,6 +32,16 @@ def test_sentences_written_by_hand(network):
     assert all(value in s for s, items in zip(seen, want) for _, value in items)
 
 
+def test_every_character_is_scored(network, monkeypatch):
+    """No place is passed over for lack of digits, capitals or cue words; equal texts are scored once."""
+    shown = []
+    real = detect.decode
+    monkeypatch.setattr(detect, "decode", lambda net, pieces: shown.extend(len(p) for p in pieces) or real(net, pieces))
+    texts = ["reach anna kranz or lena brook about it", "お問い合わせは 田中 太郎 まで", "x " * 300 + "Lives at 38 Trouve Avenue. " + "y " * 300, "infra", "", "reach anna kranz or lena brook about it"]
+    found = detect.Detector(network).find(texts)
+    assert shown == [len(t) for t in texts[:3]] and found[0] == found[5] and [k for *_, k in found[2]] == [3]
+
+
 def test_held_out_frames_and_formats(network):
     """Frames, keys and formats that training never sees; formats of numbers that no one has seen are the hard part."""
     got = train.scores(network, Maker([], [], ["The narrow session log renamed 82 rows for three sprints. " * 4], seed=12, held=True), 1200)
