@@ -22,7 +22,7 @@ from palimpsest.llm.pii.model import TYPES, Network, char_codes, decode
 
 PLACEHOLDERS = tuple(f"[{t.upper()}]" for t in TYPES)
 #: Texts decoded together, and the characters in them: one text more ends a block that has as many.
-BLOCK, BLOCK_CHARS = 4096, 1 << 20
+BLOCK, BLOCK_CHARS = 1 << 14, 1 << 21
 
 #: Function words, which begin sentences and never a name.
 _PLAIN = (

@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from palimpsest.llm.pii.model import TYPES, WINDOW, char_codes
+from palimpsest.llm.pii.model import TRAINED, TYPES, char_codes
 
 #: Common names of many countries.
 GIVEN = (
@@ -282,7 +282,7 @@ class Maker:
 
 def windows(maker: Maker, count: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes, labels) of windows cut at random from made texts."""
-    codes, labels = np.zeros((count, WINDOW), np.uint8), np.zeros((count, WINDOW), np.int64)
+    codes, labels = np.zeros((count, TRAINED), np.uint8), np.zeros((count, TRAINED), np.int64)
     n = 0
     while n < count:
         text, spans = maker.text()
@@ -291,7 +291,7 @@ def windows(maker: Maker, count: int) -> tuple[np.ndarray, np.ndarray]:
         for a, z, k in spans:
             y[a], y[a + 1 : z] = 1 + 2 * k, 2 + 2 * k
         for s in {0, max(0, maker.r.randint(0, max(0, len(c) - 40)))}:
-            part, want = c[s : s + WINDOW], y[s : s + WINDOW].copy()
+            part, want = c[s : s + TRAINED], y[s : s + TRAINED].copy()
             if len(want) and want[0] and want[0] % 2 == 0:
                 want[0] -= 1
             if n < count and len(part):

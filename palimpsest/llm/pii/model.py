@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cached_property
 from multiprocessing import get_context
 from pathlib import Path
 
@@ -10,7 +11,9 @@ import numpy as np
 TYPES = ("email", "phone", "national_id", "address", "person_name")
 #: 0 is outside; 1 + 2k begins and 2 + 2k continues an item of type k.
 LABELS = 1 + 2 * len(TYPES)
-WINDOW, STRIDE = 80, 56
+#: Characters of a window trained on; of one that is scored, and from one such to the next.
+TRAINED = 80
+WINDOW, STRIDE = 136, 112
 WEIGHTS = Path(__file__).with_name("weights.npz")
 _NEVER = -1e4
 
@@ -70,7 +73,12 @@ class Network:
         self.inputs = [(p["embed"] @ p[f"w{d}"] + p[f"b{d}"]).astype(np.float32) for d in (0, 1)]
         # a sigmoid is a tanh of half its argument: with the gates halved one tanh serves all of a step
         half = np.r_[np.full(3 * self.hidden, 0.5), np.ones(self.hidden)].astype(np.float32)
-        self.halved = [(table * half, np.ascontiguousarray(p[f"u{d}"] * half, np.float32)) for d, table in enumerate(self.inputs)]
+        # and as the step leaves a hidden state doubled, what multiplies it is halved too
+        self.halved = [(self._by_gate(table * half), self._by_gate(p[f"u{d}"] * half * 0.5), p["out"][d * self.hidden : (d + 1) * self.hidden] * 0.5) for d, table in enumerate(self.inputs)]
+
+    def _by_gate(self, weights: np.ndarray) -> np.ndarray:
+        """(gate, row, hidden) of (row, gates): what is done to one gate runs through adjoining memory."""
+        return np.ascontiguousarray(weights.reshape(len(weights), 4, self.hidden).transpose(1, 0, 2), np.float32)
 
     @classmethod
     def fresh(cls, hidden: int = 32, embed: int = 20, seed: int = 3) -> Network:
@@ -111,31 +119,49 @@ class Network:
                 keep.append((s, last, before, gate, new, squashed))
         return out
 
-    def _states(self, codes: np.ndarray, d: int) -> np.ndarray:
-        """The same hidden states, without what training needs."""
+    @cached_property
+    def padded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Cells and doubled hidden states of the backward direction after so many places of padding."""
+        n, (table, u, _) = self.hidden, self.halved[1]
+        cells, states = np.zeros((2, WINDOW + 1, n), np.float32)
+        for s in range(WINDOW):
+            z = np.tanh(table[:, 0] + states[s] @ u)
+            cells[s + 1] = ((z[1] + 1) * cells[s] + (z[0] + 1) * z[3]) * np.float32(0.5)
+            states[s + 1] = np.tanh(cells[s + 1]) * (z[2] + 1)
+        return cells, states
+
+    def _score(self, codes: np.ndarray, sizes: np.ndarray, d: int) -> np.ndarray:
+        """Scores (time, batch, labels) by one direction, without what training needs; padding isn't computed."""
         b, t = codes.shape
-        n, (table, u) = self.hidden, self.halved[d]
-        c, out, z, more = np.zeros((b, n), np.float32), np.empty((t, b, n), np.float32), np.empty((b, 4 * n), np.float32), np.empty((b, 4 * n), np.float32)
-        columns = np.ascontiguousarray(codes.T)
-        h = np.zeros((b, n), np.float32)
+        n, (table, u, labels) = self.hidden, self.halved[d]
+        columns, live = codes.T.astype(np.intp), np.count_nonzero(sizes > np.arange(t)[:, None], 1).tolist()
+        # backwards, rows begin with the state that the padding behind them leaves
+        cells, states = (x[WINDOW - sizes] for x in self.padded) if d else np.zeros((2, b, n), np.float32)
+        e = np.empty((t, b, LABELS), np.float32) if live[-1] == b else np.zeros((t, b, LABELS), np.float32)
+        gates, more = np.empty(4 * b * n, np.float32), np.empty(4 * b * n, np.float32)
         for s in range(t) if d == 0 else range(t - 1, -1, -1):
-            np.take(table, columns[s], axis=0, out=z)
-            z += np.dot(h, u, out=more)
+            m = live[s]
+            c, h = cells[:m], states[:m]
+            z = np.take(table, columns[s, :m], axis=1, out=gates[: 4 * m * n].reshape(4, m, n), mode="clip")
+            z += np.matmul(h, u, out=more[: 4 * m * n].reshape(4, m, n))
             np.tanh(z, out=z)
-            gate = z[:, : 3 * n]
-            gate += 1
-            gate *= 0.5
-            c *= gate[:, n : 2 * n]
-            c += gate[:, :n] * z[:, 3 * n :]
-            h = np.tanh(c, out=out[s])
-            h *= gate[:, 2 * n :]
-        return out
-
-    def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """(batch, time, labels) scores."""
-        f, g = self._states(codes, 0), self._states(codes, 1)
-        n = self.hidden
-        return (f @ self.p["out"][:n] + g @ self.p["out"][n:] + self.p["bias"]).transpose(1, 0, 2)
+            into, keep, show = opened = z[:3]
+            opened += 1
+            into *= z[3]
+            c *= keep
+            c += into
+            c *= 0.5
+            np.tanh(c, out=h)
+            h *= show
+            np.dot(h, labels, out=e[s, :m])
+        return e
+
+    def emissions(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(batch, time, labels) scores of rows of these sizes, longest first; behind the end of a row they mean nothing."""
+        e = self._score(codes, sizes, 0)
+        e += self._score(codes, sizes, 1)
+        e += self.p["bias"]
+        return e.transpose(1, 0, 2)
 
     def transitions(self) -> np.ndarray:
         return self.p["trans"] + forbidden()
@@ -244,29 +270,48 @@ def train(codes: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 2
 # --- decoding -------------------------------------------------------------------------------------------------------
 
 
-def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best labels (batch, time) of scores (batch, time, labels)."""
-    b, t, _ = e.shape
-    back = np.zeros((t, b, LABELS), np.int8)
-    score = e[:, 0] + np.where(np.arange(LABELS) % 2 == 0, _NEVER, 0) * (np.arange(LABELS) > 0)
+def viterbi(e: np.ndarray, begin: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best labels (time, row) of rows of the scores (place, labels), longest first, each a path of its own; 0 behind its end."""
+    b, t = len(sizes), int(sizes[0])
+    live = b - np.searchsorted(sizes[::-1], np.arange(t), side="right")
+    ends = np.cumsum(live)
+    room, busy = np.empty(LABELS * int(ends[-1]), np.float32), np.empty(int(ends[-1]), bool)
+    live, ends = live.tolist(), ends.tolist()
+    scores = [room[LABELS * (z - m) : LABELS * z].reshape(LABELS, m) for m, z in zip(live, ends)]  # of the best path to each label
     # a continuing label has two predecessors, any other all of them
-    begins = [0, *range(1, LABELS, 2)]
-    for s in range(1, t):
-        new = np.empty_like(score)
-        reach = score[:, :, None] + trans[:, begins]
-        arg = reach.argmax(1)
-        new[:, begins] = np.take_along_axis(reach, arg[:, None, :], 1)[:, 0]
-        back[s][:, begins] = arg
-        first, again = score[:, 1::2] + trans[range(1, LABELS, 2), range(2, LABELS, 2)], score[:, 2::2] + trans[range(2, LABELS, 2), range(2, LABELS, 2)]
-        later = again > first
-        new[:, 2::2] = np.where(later, again, first)
-        back[s][:, 2::2] = np.where(later, np.arange(2, LABELS, 2), np.arange(1, LABELS, 2))
-        score = new + e[:, s]
-    out = np.empty((b, t), np.int8)
-    out[:, -1] = score.argmax(1)
-    rows = np.arange(b)
-    for s in range(t - 1, 0, -1):
-        out[:, s - 1] = back[s][rows, out[:, s]]
+    first, again = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
+    allowed = trans.astype(np.float32)
+    begins = np.ascontiguousarray(allowed[:, [0, *first]].T)[:, :, None]
+    goes_on, stays_in = allowed[first, again][:, None], allowed[again, again][:, None]
+    reach = np.empty(len(begins) * LABELS * b, np.float32)
+    for s, m in enumerate(live):
+        now = scores[s]
+        now[:] = e.take(begin[:m] + s, axis=0).T
+        if s == 0:
+            now[2::2] += _NEVER
+            continue
+        last = scores[s - 1][:, :m]
+        to = np.add(begins, last, out=reach[: len(begins) * LABELS * m].reshape(len(begins), LABELS, m))
+        best = to.max(1)
+        np.not_equal(best[0], to[0, 0], out=busy[ends[s] - m : ends[s]])  # the best path to outside doesn't come from outside
+        now[0] += best[0]
+        now[1::2] += best[1:]
+        now[2::2] += np.maximum(last[1::2] + goes_on, last[2::2] + stays_in)
+    allowed[:, 2::2] = -np.inf
+    allowed[first, again], allowed[again, again] = goes_on[:, 0], stays_in[:, 0]
+    out, at, known = np.zeros((t, b), np.int8), np.zeros(b, np.intp), 0
+    for s in range(t - 1, -1, -1):
+        m = live[s]
+        if m > known:  # rows that end here
+            at[known:m] = scores[s][:, known:].argmax(0)
+            known = m
+        inside = at.nonzero()[0]
+        if len(inside):
+            out[s, inside] = at[inside]
+        if s:
+            rows = (at[:m].astype(bool) | busy[ends[s] - m : ends[s]]).nonzero()[0]
+            if len(rows):
+                at[rows] = (scores[s - 1][:, rows] + allowed[:, at[rows]]).argmax(0)
     return out
 
 
@@ -288,55 +333,69 @@ def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:
 CENTRAL = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32) + 4
 
 
-#: Characters decoded as one path, what parts of a longer stretch share on each side, and cells decoded at a time (12 MB, which a cache may hold).
-PART, LAP, CELLS = 2048, 160, 1 << 18
+#: Characters decoded as one path, what parts of a longer stretch share on each side, and cells decoded at a time (46 MB).
+PART, LAP, CELLS = 640, 160, 1 << 20
+#: Strides of texts whose scores are held at a time (80 MB); a longer text is held alone.
+STRIDES = 1 << 14
 
 
 def decode(net: Network, codes: list[np.ndarray], batch: int = 768) -> list[list[tuple[int, int, int]]]:
     """Items of each text: overlapping windows are scored, their scores are joined, and one path is found through each text."""
+    room = np.cumsum([_windows(len(c)) + 1 for c in codes])
+    ends = np.flatnonzero(np.diff(room // STRIDES)) + 1 if len(codes) else []
+    return [spans for a, z in zip([0, *ends], [*ends, len(codes)]) for spans in _decoded(net, codes[a:z], batch)]
+
+
+def _windows(size: int | np.ndarray) -> int | np.ndarray:
+    """How many windows a text of this size takes."""
+    return -(-np.maximum(1, size - (WINDOW - STRIDE)) // STRIDE)
+
+
+def _joined(net: Network, codes: list[np.ndarray], batch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (place, labels), and the place at which each text begins. A text has whole strides, the last one for the end of its last window."""
+    lengths = np.array([len(c) for c in codes])
+    count = _windows(lengths)
+    first, offset = np.cumsum(count + 1) - (count + 1), np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(codes)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    sizes = np.minimum(WINDOW, lengths[owner] - nth * STRIDE)
+    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes > 0)]
+    flat = np.concatenate([*codes, np.zeros(WINDOW, np.uint8)])
+    lap = WINDOW - STRIDE
+    both = CENTRAL[:lap] + CENTRAL[STRIDE:]
+    sums = np.zeros((int((count + 1).sum()), STRIDE, LABELS), np.float32)
+    for b in range(0, len(order), batch):
+        some = order[b : b + batch]
+        i, k, t = owner[some], nth[some], int(sizes[some[0]])
+        e = net.emissions(flat[(offset[i] + k * STRIDE)[:, None] + np.arange(t)], sizes[some])
+        # where two windows overlap, each has its share
+        row, begun, ended = first[i] + k, min(t, lap), max(0, t - STRIDE)
+        sums[row, :begun] += e[:, :begun] * np.where(k[:, None] > 0, CENTRAL[:lap] / both, 1)[:, :begun, None]
+        sums[row, lap : max(lap, min(t, STRIDE))] = e[:, lap:STRIDE]
+        sums[row + 1, :ended] += e[:, STRIDE:] * np.where(k[:, None] < count[i, None] - 1, CENTRAL[STRIDE:] / both, 1)[:, :ended, None]
+    return sums.reshape(-1, LABELS), first * STRIDE
+
+
+def _decoded(net: Network, codes: list[np.ndarray], batch: int) -> list[list[tuple[int, int, int]]]:
     if not codes:
         return []
-    starts, owner = [], []
     lengths = np.array([len(c) for c in codes])
-    offset = np.concatenate([[0], np.cumsum(lengths)])
-    for i, n in enumerate(lengths):
-        s = list(range(0, max(1, int(n) - (WINDOW - STRIDE)), STRIDE))
-        starts += s
-        owner += [i] * len(s)
-    starts, owner = np.array(starts), np.array(owner)
-    flat = np.concatenate([*codes, np.zeros(WINDOW, np.uint8)])
-    sums, weight = np.zeros((offset[-1], LABELS), np.float32), np.zeros(offset[-1], np.float32)
-    place = np.arange(WINDOW)
-    for b in range(0, len(starts), batch):
-        at = starts[b : b + batch, None] + place
-        inside = at < lengths[owner[b : b + batch], None]
-        g = offset[owner[b : b + batch], None] + at
-        window = np.where(inside, flat[np.where(inside, g, 0)], 0)
-        e = net.emissions(window)
-        for parity in (0, 1):  # windows of one parity never overlap in a text, so plain indexing adds them up
-            rows = (starts[b : b + batch] // STRIDE) % 2 == parity
-            k = inside[rows]
-            to, w = g[rows][k], np.broadcast_to(CENTRAL, k.shape)[k]
-            sums[to] += e[rows][k] * w[:, None]
-            weight[to] += w
-    sums /= np.maximum(weight, 1)[:, None]
+    sums, begin = _joined(net, codes, batch)
     trans, out = net.transitions(), [[] for _ in codes]
     # a long stretch is decoded in parts that overlap; an item belongs to the part its beginning lies in
     parts = [(i, a, max(0, a - LAP), min(int(n), a + PART + LAP)) for i, n in enumerate(lengths) for a in range(0, int(n), PART)]
-    parts.sort(key=lambda p: p[3] - p[2])
+    parts.sort(key=lambda p: p[2] - p[3])
     at = 0
     while at < len(parts):
-        end = at + 1
-        while end < len(parts) and (end + 1 - at) * (parts[end][3] - parts[end][2]) <= CELLS:
+        end, cells = at, 0
+        while end < len(parts) and (end == at or cells + parts[end][3] - parts[end][2] <= CELLS):
+            cells += parts[end][3] - parts[end][2]
             end += 1
         some = parts[at:end]
-        e = np.full((len(some), some[-1][3] - some[-1][2], LABELS), 0, np.float32)
-        e[:, :, 1:] = _NEVER
-        for k, (i, _, a, z) in enumerate(some):
-            e[k, : z - a] = sums[offset[i] + a : offset[i] + z]
-        for (i, core, a, _), labels in zip(some, viterbi(e, trans)):
-            if labels.any():
-                out[i] += [(s + a, z + a, kind) for s, z, kind in spans_of(labels) if core <= s + a < core + PART]
+        labels = viterbi(sums, np.array([begin[i] + a for i, _, a, _ in some]), np.array([z - a for _, _, a, z in some]), trans)
+        for row in np.flatnonzero(labels.any(0)):
+            i, core, a, _ = some[row]
+            out[i] += [(s + a, z + a, kind) for s, z, kind in spans_of(labels[:, row]) if core <= s + a < core + PART]
         at = end
     return [_apart(sorted(spans)) for spans in out]
 

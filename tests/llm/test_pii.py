@@ -83,6 +83,46 @@ def test_gradients(network):
         assert abs((sides[0] - sides[1]) / 2e-2 - g[name][at]) < 2e-2 * max(1, abs(g[name][at]))
 
 
+def test_rows_of_any_length_are_scored_as_if_padded(network):
+    """What is passed over is padding: the scores are those of the training pass over whole windows."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([model.WINDOW, model.WINDOW, 90, 41, 41, 2, 1])
+    codes = rng.integers(1, model.VOCABULARY, (len(sizes), model.WINDOW)).astype(np.uint8)
+    padded = np.where(np.arange(model.WINDOW) < sizes[:, None], codes, 0).astype(np.uint8)
+    want = np.concatenate([network._pass(padded, d) for d in (0, 1)], 2) @ network.p["out"] + network.p["bias"]
+    for rows in (slice(0, None), slice(2, None)):
+        t = sizes[rows][0]
+        got = network.emissions(codes[rows, :t], sizes[rows])
+        for e, w, size in zip(got, want.transpose(1, 0, 2)[rows], sizes[rows]):
+            assert np.allclose(e[:size], w[:size], atol=1e-4)
+
+
+def test_work_follows_the_characters(network, monkeypatch):
+    """Every character is scored once, but for the laps of windows; no place of padding is."""
+    scored = []
+    real = model.Network.emissions
+    monkeypatch.setattr(model.Network, "emissions", lambda net, codes, sizes: scored.append(int(sizes.sum())) or real(net, codes, sizes))
+    codes = [model.char_codes("The narrow session log renamed 82 rows for three sprints. "[: 20 + k] * 9) for k in range(38)]
+    model.decode(network, codes)
+    assert sum(map(len, codes)) <= sum(scored) < 1.25 * sum(map(len, codes))
+    scored.clear()
+    model.decode(network, [c[: 5 + k] for k, c in enumerate(codes)])
+    assert sum(scored) == sum(5 + k for k in range(38))
+
+
+def test_paths_of_rows_of_any_length(network):
+    """Each row's best labels, as a path by path search finds them, whatever rows are beside it."""
+    rng, trans = np.random.default_rng(6), network.transitions()
+    sizes = np.array([9, 9, 5, 3, 1])
+    e, begin = rng.normal(0, 3, (40, model.LABELS)).astype(np.float32), np.array([0, 10, 20, 26, 30])
+    labels = model.viterbi(e, begin, sizes, trans)
+    for r, (a, size) in enumerate(zip(begin, sizes)):
+        best = {k: (float(e[a, k]) - 1e4 * (k > 0 and k % 2 == 0), [k]) for k in range(model.LABELS)}
+        for s in range(a + 1, a + size):
+            best = {k: max(((v + float(trans[i, k]) + float(e[s, k]), [*path, k]) for i, (v, path) in best.items()), key=lambda x: x[0]) for k in best}
+        assert labels[:size, r].tolist() == max(best.values(), key=lambda x: x[0])[1] and not labels[size:, r].any()
+
+
 def test_windows_are_reconciled(network):
     item = "write to fygliowyn.meshski@skeltcrou.example for the draft. "
     text = "The narrow session log renamed rows for three sprints. " * 3 + item + "Nobody moved the stale memory shard on Monday. " * 3
