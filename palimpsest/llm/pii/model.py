@@ -13,7 +13,7 @@ TYPES = ("email", "phone", "national_id", "address", "person_name")
 LABELS = 1 + 2 * len(TYPES)
 #: Characters of a window trained on; of one that is scored, and from one such to the next.
 TRAINED = 80
-WINDOW, STRIDE = 136, 112
+WINDOW, STRIDE = 640, 616
 WEIGHTS = Path(__file__).with_name("weights.npz")
 _NEVER = -1e4
 
@@ -137,8 +137,7 @@ class Network:
         columns, live = codes.T.astype(np.intp), np.count_nonzero(sizes > np.arange(t)[:, None], 1).tolist()
         # backwards, rows begin with the state that the padding behind them leaves
         cells, states = (x[WINDOW - sizes] for x in self.padded) if d else np.zeros((2, b, n), np.float32)
-        e = np.empty((t, b, LABELS), np.float32) if live[-1] == b else np.zeros((t, b, LABELS), np.float32)
-        gates, more = np.empty(4 * b * n, np.float32), np.empty(4 * b * n, np.float32)
+        e, gates, more = np.zeros((t, b, LABELS), np.float32), np.empty(4 * b * n, np.float32), np.empty(4 * b * n, np.float32)
         for s in range(t) if d == 0 else range(t - 1, -1, -1):
             m = live[s]
             c, h = cells[:m], states[:m]
@@ -335,45 +334,41 @@ CENTRAL = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(
 
 #: Characters decoded as one path, what parts of a longer stretch share on each side, and cells decoded at a time (46 MB).
 PART, LAP, CELLS = 640, 160, 1 << 20
-#: Strides of texts whose scores are held at a time (80 MB); a longer text is held alone.
-STRIDES = 1 << 14
+#: Characters of texts whose scores are held at a time (92 MB); a longer text is held alone.
+HELD = 1 << 21
 
 
 def decode(net: Network, codes: list[np.ndarray], batch: int = 768) -> list[list[tuple[int, int, int]]]:
     """Items of each text: overlapping windows are scored, their scores are joined, and one path is found through each text."""
-    room = np.cumsum([_windows(len(c)) + 1 for c in codes])
-    ends = np.flatnonzero(np.diff(room // STRIDES)) + 1 if len(codes) else []
+    group = np.cumsum([len(c) for c in codes]) // HELD
+    ends = (np.flatnonzero(np.diff(group)) + 1).tolist()
     return [spans for a, z in zip([0, *ends], [*ends, len(codes)]) for spans in _decoded(net, codes[a:z], batch)]
 
 
-def _windows(size: int | np.ndarray) -> int | np.ndarray:
-    """How many windows a text of this size takes."""
-    return -(-np.maximum(1, size - (WINDOW - STRIDE)) // STRIDE)
-
-
 def _joined(net: Network, codes: list[np.ndarray], batch: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores (place, labels), and the place at which each text begins. A text has whole strides, the last one for the end of its last window."""
-    lengths = np.array([len(c) for c in codes])
-    count = _windows(lengths)
-    first, offset = np.cumsum(count + 1) - (count + 1), np.cumsum(lengths) - lengths
+    """Scores (place, labels), and the place at which each text begins."""
+    lengths, lap = np.array([len(c) for c in codes]), WINDOW - STRIDE
+    begin = np.cumsum(lengths) - lengths
+    count = -(-np.maximum(1, lengths - lap) // STRIDE)
     owner = np.repeat(np.arange(len(codes)), count)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    sizes = np.minimum(WINDOW, lengths[owner] - nth * STRIDE)
-    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes > 0)]
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    sizes = np.minimum(WINDOW, lengths[owner] - start)
+    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
     flat = np.concatenate([*codes, np.zeros(WINDOW, np.uint8)])
-    lap = WINDOW - STRIDE
-    both = CENTRAL[:lap] + CENTRAL[STRIDE:]
-    sums = np.zeros((int((count + 1).sum()), STRIDE, LABELS), np.float32)
+    # where two windows overlap, each has its share
+    opening = (CENTRAL[:lap] / (CENTRAL[:lap] + CENTRAL[STRIDE:]))[:, None]
+    sums = np.zeros((len(flat) - WINDOW, LABELS), np.float32)
     for b in range(0, len(order), batch):
         some = order[b : b + batch]
-        i, k, t = owner[some], nth[some], int(sizes[some[0]])
-        e = net.emissions(flat[(offset[i] + k * STRIDE)[:, None] + np.arange(t)], sizes[some])
-        # where two windows overlap, each has its share
-        row, begun, ended = first[i] + k, min(t, lap), max(0, t - STRIDE)
-        sums[row, :begun] += e[:, :begun] * np.where(k[:, None] > 0, CENTRAL[:lap] / both, 1)[:, :begun, None]
-        sums[row, lap : max(lap, min(t, STRIDE))] = e[:, lap:STRIDE]
-        sums[row + 1, :ended] += e[:, STRIDE:] * np.where(k[:, None] < count[i, None] - 1, CENTRAL[STRIDE:] / both, 1)[:, :ended, None]
-    return sums.reshape(-1, LABELS), first * STRIDE
+        at, t = begin[owner[some]] + start[some], int(sizes[some[0]])
+        e = net.emissions(flat[at[:, None] + np.arange(t)], sizes[some])
+        for scores, a, size, first, last in zip(e, at.tolist(), sizes[some].tolist(), (start[some] == 0).tolist(), (start[some] + sizes[some] == lengths[owner[some]]).tolist()):
+            if not first:
+                scores[:lap] *= opening[:size]
+            if not last:
+                scores[STRIDE:] *= 1 - opening
+            sums[a : a + size] += scores[:size]
+    return sums, begin
 
 
 def _decoded(net: Network, codes: list[np.ndarray], batch: int) -> list[list[tuple[int, int, int]]]:
