@@ -33,7 +33,7 @@ _PLAIN = (
 _LANES = "street|road|lane|avenue|drive|court|close|crescent|terrace|way|place|square|boulevard|grove|hill|gardens|row|walk|parkway|st|rd|ave|ln|dr|blvd"
 _WAYS = "rue|avenue|boulevard|chemin|impasse|place|calle|avenida|paseo|plaza|via|viale|piazza|corso|rua|largo|ul|aleja"
 #: A digit, a mark of an email or the space between two words, one of which every item has (see ``exact``).
-_POSSIBLE = regex.compile(r"[\p{N}\s,@(\[]")
+_POSSIBLE = regex.compile(r"[\p{N}\s\x1c-\x1f,@(\[]")
 _LITERAL = regex.compile(r'"(?:[^"\\]|\\.)*+("|$)', regex.S)
 _KEY_AFTER = regex.compile(r"\s*:")
 _FLAT = regex.compile(r"^(?:flat|apt\.?|apartment|unit)\s+\w+\s*,\s*", regex.I)
@@ -57,7 +57,7 @@ def normal(value: str) -> str:
 
 def regions(text: str) -> list[tuple[int, int]]:
     """The stretches to be scored: the whole text, unless no item of any type can stand in it."""
-    return [(0, len(text))] if _POSSIBLE.search(text) or any(c.isdigit() or c.isspace() for c in text) else []
+    return [(0, len(text))] if _POSSIBLE.search(text) else []
 
 
 def _grown(text: str, a: int, z: int, joins: str) -> tuple[int, int]:
